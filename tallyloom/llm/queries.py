@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import copies, leakage, nearcopies, truncation
+from tallyloom.llm import copies, leakage, mojibake, nearcopies, pairs, scans, truncation
 from tallyloom.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.broken(table(spark, d, "predictions_option"), table(spark, d, "predictions_answer"), table(spark, d, "questions_block"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return nearcopies.near_pairs(table(spark, d, "questions_block"))
 
@@ -19,6 +23,25 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return nearcopies.near_groups(table(spark, d, "questions_block"))
 
 
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    explained, blocks = table(spark, d, "explained_items"), table(spark, d, "format_blocks")
+    return scans.fields(
+        [
+            ("explained_items", explained, "explained_id", "question"),
+            ("explained_items", explained, "explained_id", "option_a"),
+            ("format_blocks", blocks, "block_id", "stem"),
+        ]
+    )
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.noise(_scanned(spark, d))
+
+
+def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(_scanned(spark, d))
+
+
 def _replies(spark: SparkSession, d: str) -> DataFrame:
     return truncation.replies(table(spark, d, "predictions_option"), table(spark, d, "predictions_answer"))
 
@@ -49,8 +72,19 @@ def p9_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(leakage.leaks(documents, items), documents, items)
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled(table(spark, d, "documents"))
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.restored(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_groups, p6_found, p6_share_by_run, p7_found, p7_collapsed, p9_found, p9_leaked_items)
+    f.__name__: f
+    for f in (
+        p1_found, p2_found, p2_groups, p3_found, p3_repaired, p6_found, p6_share_by_run, p7_found, p7_collapsed, p9_found, p9_leaked_items, p10_found, p10_restored,
+    )
 }
 
 _KEYED = r"""
