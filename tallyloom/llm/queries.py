@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import copies, leakage, mojibake, nearcopies, pairs, scans, truncation
+from tallyloom.llm import copies, leakage, mojibake, nearcopies, packing, pairs, scans, truncation
 from tallyloom.session import table
 
 
@@ -63,6 +63,14 @@ def p7_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return copies.collapsed(table(spark, d, "questions_block")).select("item_id", "corpus", "question_number", "stem", "n_copies")
 
 
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.report(p8_pack(spark, d))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "public_items"))
 
@@ -83,7 +91,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p2_found, p2_groups, p3_found, p3_repaired, p6_found, p6_share_by_run, p7_found, p7_collapsed, p9_found, p9_leaked_items, p10_found, p10_restored,
+        p1_found, p2_found, p2_groups, p3_found, p3_repaired, p6_found, p6_share_by_run, p7_found, p7_collapsed, p8_pack, p8_report, p9_found, p9_leaked_items, p10_found, p10_restored,
     )
 }
 
