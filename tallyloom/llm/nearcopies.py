@@ -195,7 +195,7 @@ def near_pairs(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     several = members.select("rep", "id")
     return (
         pairs.join(several.withColumnsRenamed({"rep": "a", "id": "x"}), "a").join(several.withColumnsRenamed({"rep": "b", "id": "y"}), "b")
-        .select(F.least("x", "y").alias("item_id_a"), F.greatest("x", "y").alias("item_id_b")).distinct()
+        .where("x <> y").select(F.least("x", "y").alias("item_id_a"), F.greatest("x", "y").alias("item_id_b")).distinct()
     )
 
 

@@ -226,10 +226,12 @@ def packed(documents: DataFrame, packs: DataFrame, tokenizer: str = TOKENIZER) -
         ranked.join(F.broadcast(steps), ["pack_id", "tokens"]).where("rank >= lo and rank < hi")
         .select("pack_id", "capacity", name, "doc_id", "part", "tokens", F.expr("concat('c', first + (rank - lo) div each)").alias("container_id"))
     )
+    same_id = Window.partitionBy("pack_id", "doc_id").orderBy("size")
     own = (
-        sizes.join(F.broadcast(few), F.col("size") > F.col("capacity"))
-        .select("pack_id", "capacity", name, "doc_id", F.explode(F.expr("sequence(0L, size div capacity - 1)")).alias("part"), F.col("capacity").cast("bigint").alias("tokens"))
-        .withColumn("container_id", F.concat(F.lit("d"), "doc_id", F.lit("-"), "part"))
+        sizes.join(F.broadcast(few), F.col("size") > F.col("capacity")).withColumn("again", F.row_number().over(same_id))
+        .select("pack_id", "capacity", name, "doc_id", "again", F.explode(F.expr("sequence(0L, size div capacity - 1)")).alias("part"), F.col("capacity").cast("bigint").alias("tokens"))
+        .withColumn("container_id", F.concat(F.lit("d"), "doc_id", F.lit("-"), "part", F.when(F.col("again") > 1, F.concat(F.lit("#"), "again")).otherwise("")))
+        .drop("again")
     )
     empty = sizes.where("size = 0").join(F.broadcast(few)).select(
         "pack_id", "capacity", name, "doc_id", F.lit(0).cast("bigint").alias("part"), F.lit(0).cast("bigint").alias("tokens"), F.lit(None).cast("string").alias("container_id")

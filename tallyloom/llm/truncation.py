@@ -24,7 +24,7 @@ COMMON = 0.003
 MIN_GRAM, MIN_BIGRAM, MIN_WORD, MAX_TERMINAL, MAX_WORD_TERMINAL = 12, 40, 200, 0.03, 0.01
 MIN_LONGER, MAX_WHOLE = 4, 0.04
 MIN_WORDS = 3
-_TOKEN = r"\b(?:Mr|Mrs|Ms|Dr|Sr|Sra)\.|[$£€]?\d+(?:[.,]\d+)*%?|[\p{L}\p{M}\d]+(?:[-’\x27][\p{L}\p{M}\d]+)*|[,;:=–—]|[.!?…\n]++"
+_TOKEN = r"\b(?:Mr|Mrs|Ms|Dr|Sr|Sra)\.|[$£€]?\d++(?:[.,]\d++)*+%?|[\p{L}\p{M}\d]++(?:[-’\x27][\p{L}\p{M}\d]++)*+|[,;:=–—]|[.!?…\n]++"
 
 def _word(x: str) -> str:
     """Digits to a shape, codes in capitals to one; other words in lower case."""
