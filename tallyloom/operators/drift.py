@@ -110,6 +110,12 @@ def changes(files: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
+def _first_of_names(cells: Column) -> Column:
+    """(target, value) of sorted (place, target, value) cells; of equal names the first place counts."""
+    first = F.filter(cells, lambda e, i: ~F.exists(F.slice(cells, F.lit(1), i), lambda before: before["target"] == e["target"]))
+    return F.transform(first, lambda e: F.struct(e["target"], e["value"]))
+
+
 def unified(files: DataFrame, lines: DataFrame, synonyms: dict[str, list[str]] = SYNONYMS, types: dict[str, str] = TYPES) -> DataFrame:
     """One row for each data line: file_id, line_no, the typed columns, all other columns as a map, the names of failed casts."""
     target = F.create_map(*[F.lit(x) for to, names in synonyms.items() for n in names for x in (n, to)])
@@ -118,7 +124,7 @@ def unified(files: DataFrame, lines: DataFrame, synonyms: dict[str, list[str]] =
     rows = cell.groupBy("file_id", "line_no").agg(
         *[F.min(F.when(F.col("target") == t, value)).alias(f"raw_{t}") for t in synonyms],
         F.map_from_entries(
-            F.array_distinct(F.transform(F.filter(F.sort_array(F.collect_list(F.when(~F.col("target").isin(*synonyms), F.struct("place", "target", "value")))), lambda x: x.isNotNull()), lambda x: F.struct(x["target"], x["value"])))
+            _first_of_names(F.sort_array(F.collect_list(F.when(~F.col("target").isin(*synonyms), F.struct("place", "target", "value")))))
         ).alias("others"),
     )
     typed = {t: F.expr(f"try_cast(regexp_replace(raw_{t}, '^[Qq]0*|[ ]s$', '') as {types[t]})" if types[t] != "string" else f"raw_{t}") for t in synonyms}

@@ -4,8 +4,8 @@ Records are exploded into (row, column, value) cells, every cell meets the rules
 the broken rules are aggregated to one reason a row, and the clean rows are what an anti-join leaves.
 
 Defined results: a null or blank ``answers`` record is no record (neither clean nor rejected); a null
-``mcq`` record counts as one empty field and fails ``column_count``; rows with equal ids are separate
-records only if their text differs; columns besides the named ones are ignored.
+``mcq`` record counts as one empty field and fails ``column_count``; rows with equal ids share a verdict,
+the first that applies to any of them; columns besides the named ones are ignored.
 """
 
 from __future__ import annotations

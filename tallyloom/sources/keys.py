@@ -62,8 +62,8 @@ def predictions(spark: SparkSession, path: str, prefer: str = "option", keep_bla
         spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.csv")
         .select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", r"\r\n?", "\n").alias("text"))
     )
-    # Quoted line ends stay inside their record: split only where an even number of quotes has passed.
-    records = F.split(F.regexp_replace("text", r"\n+\z", ""), r'\n(?=(?:[^"]*"[^"]*")*[^"]*\z)')
+    # A record ends at a line end outside quotes; possessive repetitions keep the matcher linear.
+    records = F.regexp_extract_all(F.concat("text", F.lit("\n")), F.lit(r'((?:"[^"]*+"|[^"\n]++)*+)\n'), F.lit(1))
     header = F.transform(fields(F.get(records, F.lit(0))), column_name)
     lines = files.select("file", header.alias("header"), F.posexplode(records).alias("ordinal", "line")).where("ordinal > 0 and line <> ''")
     cell = lambda name: F.get(fields(F.col("line")), (F.nullif(F.array_position("header", name), F.lit(0)) - 1).cast("int")).alias(name)
