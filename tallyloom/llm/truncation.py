@@ -24,6 +24,7 @@ COMMON = 0.003
 MIN_GRAM, MIN_BIGRAM, MIN_WORD, MAX_TERMINAL, MAX_WORD_TERMINAL = 12, 40, 200, 0.03, 0.01
 MIN_LONGER, MAX_WHOLE = 4, 0.04
 MIN_WORDS = 3
+LONGEST = 64  # beginnings of words are looked up to this length; a longer string is no beginning of a word
 _TOKEN = r"\b(?:Mr|Mrs|Ms|Dr|Sr|Sra)\.|[$£€]?\d++(?:[.,]\d++)*+%?|[\p{L}\p{M}\d]++(?:[-’\x27][\p{L}\p{M}\d]++)*+|[,;:=–—]|[.!?…\n]++"
 
 def _word(x: str) -> str:
@@ -88,7 +89,7 @@ def cut_texts(texts: DataFrame, key: str, text: str) -> DataFrame:
       places as (select ma, mb, c, sum(n) as n from _cut_stats group by ma, mb, c),
       longer as (
         select p.ma, p.mb, p.prefix as c, sum(p.n) as n
-        from (select ma, mb, n, explode(transform(sequence(1, length(c) - 1), i -> left(c, i))) as prefix from places where length(c) > 1) p
+        from (select ma, mb, n, explode(transform(sequence(1, least(length(c) - 1, {LONGEST})), i -> left(c, i))) as prefix from places where length(c) > 1) p
         left semi join finals f on p.ma = f.ma and p.mb = f.mb and p.prefix = f.c
         group by p.ma, p.mb, p.prefix)
       select f.mz, f.ma, f.mb, f.mc, f.c,
