@@ -15,7 +15,7 @@ question whose language gets no vote has no other_language; of repeated question
 from __future__ import annotations
 
 import re
-from collections import Counter, deque
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -56,6 +56,8 @@ for _lang, _list in STOPWORDS.items():
 _QUOTED = re.compile(r"“[^”]*(?:”|$)|«[^»]*(?:»|$)|(?<!\w)\"[^\"]*\"")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _LEAD = re.compile(rf"\A\W*{LEAD_IN}", re.IGNORECASE)
+GOOD_OPTIONS = frozenset("ABCD")
+_MAY_LEAD = re.compile(r"[:–—]|-\s")
 _BARE = {re.sub(r"[\W_]+", "", p) for p in PLACEHOLDERS}
 
 
@@ -142,11 +144,17 @@ class PhraseAutomaton:
         return False
 
 
+_MARKS = re.compile("[“”«»]")
+_NO_LETTER = re.compile(r"[\W_]+")
+
+
 def squashed(text: str) -> str:
-    return "".join(c for c in text.lower() if c.isalnum())
+    return _NO_LETTER.sub("", text.lower())
 
 
 def without_lead(text: str) -> str:
+    if not _MAY_LEAD.search(text, 0, 40):
+        return text
     while (shorter := _LEAD.sub("", text, count=1)) != text:
         text = shorter
     return text
@@ -156,32 +164,38 @@ def is_unusable(text: str | None) -> bool:
     """Null, blank, invisible, bare marks, a lead-in alone, or a placeholder word."""
     if text is None:
         return True
+    if len(text) > 80 and _WORDS.search(text, 40):
+        return False
     core = squashed(without_lead(text + " "))
     return not core or core in _BARE
 
 
 def spoken_words(text: str) -> list[str]:
-    return [w.lower().replace("’", "'") for w in _WORDS.findall(_QUOTED.sub(" ", text))]
-
-
-def language(text: str) -> str | None:
-    """The language with the most stopwords, if it has two or more and more than any other; Cyrillic text is ru."""
-    words = spoken_words(text)
-    cyrillic = sum("а" <= w[0] <= "я" for w in words)
-    if cyrillic * 2 > len(words):
-        return "ru"
-    votes = Counter(lang for w in words for lang in _LANGUAGE_OF.get(w, ()))
-    first = votes.most_common(2)
-    if not first or first[0][1] < 2 or (len(first) > 1 and first[1][1] == first[0][1]):
-        return None
-    return first[0][0]
-
-
-def is_copy(reply: str, prompt: str) -> bool:
-    """The reply holds nothing but the prompt's own text, with small changes."""
-    core, source = squashed(without_lead(reply)), squashed(prompt)
+    text = text.lower()
+    if "“" in text or '"' in text or "«" in text:
+        text = _QUOTED.sub(" ", text)
+    return _WORDS.findall(text.replace("’", "'"))
+
+
+def language(words: list[str]) -> str | None:
+    """The language with the most stopwords, if it has two or more and more than any other; Cyrillic text without any is ru."""
+    votes: dict[str, int] = {}
+    for w in words:
+        for lang in _LANGUAGE_OF.get(w, ()):
+            votes[lang] = votes.get(lang, 0) + 1
+    if not votes:
+        return "ru" if sum("а" <= w[0] <= "я" for w in words) * 2 > len(words) else None
+    best = max(votes, key=votes.__getitem__)
+    return best if votes[best] >= 2 and list(votes.values()).count(votes[best]) == 1 else None
+
+
+def is_copy(core: str, source: str) -> bool:
+    """The squashed reply holds nothing but the squashed prompt's own text, with small changes."""
     if len(core) < MIN_MATCH or not source:
         return False
+    # A match must reach the last MAX_END characters, so one of the windows there must stand in the source.
+    if not any(core[i : i + MIN_MATCH] in source for i in range(max(0, len(core) - MAX_END - MIN_MATCH), len(core) - MIN_MATCH + 1)):
+        return False
     blocks = range(0, len(core) - MIN_MATCH + 1, MIN_MATCH)
     if sum(core[i : i + MIN_MATCH] in source for i in blocks) * 3 < len(blocks):
         return False  # what the automaton would find covers far too little
@@ -197,32 +211,39 @@ def is_copy(reply: str, prompt: str) -> bool:
 def ends_inside(text: str) -> bool:
     """The stack of delimiters still holds an opening quotation mark at the end."""
     stack: list[str] = []
-    for c in text:
+    for c in _MARKS.findall(text):
         if c in "“«":
             stack.append(c)
-        elif c in "”»" and stack:
+        elif stack:
             stack.pop()
     return bool(stack)
 
 
+def asked_languages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch.assign(asked=[language(spoken_words(p)) for p in batch.pop("prompt")])
+
+
 def defects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     refusal = PhraseAutomaton(REFUSALS)
     for batch in batches:
         out = []
-        for reason, stem, choices, known in zip(batch["reason"], batch["stem"], batch["choices"], batch["known"], strict=True):
+        for reason, source, asked in zip(batch["reason"], batch["source"], batch["asked"], strict=True):
             if is_unusable(reason):
                 out.append("empty")
                 continue
-            prompt = " \n".join([stem or "", *(choices if choices is not None else [])])
-            if refusal.found(spoken_words(without_lead(reason))):
+            core = without_lead(reason)
+            words = spoken_words(core)
+            if refusal.found(words):
                 out.append("refusal")
-            elif known and (spoken := language(without_lead(reason))) and (asked := language(prompt)) and spoken != asked:
+            elif asked and (spoken := language(words)) and spoken != asked:
                 out.append("other_language")
-            elif known and is_copy(reason, prompt):
+            elif source and is_copy(squashed(core), source):
                 out.append("copies_question")
             else:
                 out.append("truncated" if ends_inside(reason) else None)
-        yield pd.DataFrame({"pred_id": batch["pred_id"], "option_bad": [is_unusable(o) for o in batch["option"]], "defect": out})
+        bad = [not (o is not None and o in GOOD_OPTIONS) and is_unusable(o) for o in batch["option"]]
+        yield pd.DataFrame({"pred_id": batch["pred_id"], "option_bad": bad, "defect": out})
 
 
 def _values(choices: Column) -> Column:
@@ -232,11 +253,13 @@ def _values(choices: Column) -> Column:
 def broken(option: DataFrame, answer: DataFrame, questions: DataFrame) -> DataFrame:
     """pred_id, defect of the replies of ``option`` runs; ``answer`` runs add to the statistics of cut replies."""
     keys = ["corpus", "question_number"]
-    asked = questions.groupBy(*keys).agg(F.min_by(F.struct("stem", _values(F.col("choices")).alias("choices")), "item_id").alias("q"))
-    posed = (
-        option.select("pred_id", *keys, "option", "reason").join(asked, keys, "left")
-        .select("pred_id", "option", "reason", F.col("q.stem").alias("stem"), F.col("q.choices").alias("choices"), F.col("q").isNotNull().alias("known"))
-    )
+    first = questions.groupBy(*keys).agg(F.min_by(F.struct("stem", _values(F.col("choices")).alias("choices")), "item_id").alias("q"))
+    prompt = F.concat_ws("\n", F.coalesce("q.stem", F.lit("")), F.coalesce("q.choices", F.array().cast("array<string>")))
+    # Squashed and voted on once a question, not once a reply.
+    source = F.regexp_replace(F.lower(prompt), r"[^\p{L}\p{N}]++", "")
+    kinds = {c: questions.schema[c].dataType.simpleString() for c in keys}
+    asked = first.select(*keys, source.alias("source"), prompt.alias("prompt")).mapInPandas(asked_languages, f"corpus {kinds['corpus']}, question_number {kinds['question_number']}, source string, asked string")
+    posed = option.select("pred_id", *keys, "option", "reason").join(asked, keys, "left").select("pred_id", "option", "reason", "source", "asked")
     kind = option.schema["pred_id"].dataType.simpleString()
     judged = posed.mapInPandas(defects, f"pred_id {kind}, option_bad boolean, defect string")
     cut = cut_texts(replies(option, answer), "pred_id", "reason").select("pred_id", F.lit("truncated").alias("cut")).distinct()

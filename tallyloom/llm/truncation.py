@@ -3,8 +3,7 @@
 Word trigrams are counted inside texts and at ends (of sentences and of texts). A text is cut when its
 last trigram is frequent inside and almost never terminal, or when its last word is a rare beginning of
 words that often stand in that place. The word before a trigram sharpens it where that longer run is frequent,
-too. Rare words fall back to a class (capitalised or not), digits to a shape, rare trigrams to bigrams
-and words, so that names and sums do not hide the pattern around them.
+too. Rare words fall back to one class, digits to a shape, rare trigrams to bigrams and words, so that names and sums do not hide the pattern around them.
 
 Defined results: null texts, texts of fewer than MIN_WORDS words and texts that end in a question mark are
 never cut; equal texts get equal results; other marks after the last word (dots, ellipses, quotes, replacement characters, line ends) do not matter,
@@ -25,87 +24,106 @@ MIN_GRAM, MIN_BIGRAM, MIN_WORD, MAX_TERMINAL, MAX_WORD_TERMINAL = 12, 40, 200, 0
 MIN_LONGER, MAX_WHOLE = 4, 0.04
 MIN_WORDS = 3
 LONGEST = 64  # beginnings of words are looked up to this length; a longer string is no beginning of a word
-_TOKEN = r"\b(?:Mr|Mrs|Ms|Dr|Sr|Sra)\.|[$£€]?\d++(?:[.,]\d++)*+%?|[\p{L}\p{M}\d]++(?:[-’\x27][\p{L}\p{M}\d]++)*+|[,;:=–—]|[.!?…\n]++"
+#: marks and blanks that may stand after a cut or an end
+_AFTER = " \t\r\n.!?…\"'“”‘’«»()[]{}<>*~|_\u00a0\u200b\u200c\u200d\ufeff\u2026\ufffd"
+_TITLES = ("mr", "mrs", "ms", "dr", "sr", "sra")
+_TAIL = 256
+#: at most so many words are written out, the most frequent ones; COMMON keeps their number far below
+MOST_COMMON = 50_000
 
-def _word(x: str) -> str:
-    """Digits to a shape, codes in capitals to one; other words in lower case."""
-    return (
-        f"case when {x} is null or {x} rlike '^[.!?…\\n]' then '^' when {x} rlike '[0-9]' then regexp_replace(regexp_replace({x}, '[0-9]', '9'), '[A-Z]', 'A')"
-        f" else lower({x}) end"
-    )
 
+def _q(chars: str) -> str:
+    return "'" + chars.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\t", "\\t").replace("\r", "\\r") + "'"
+
+
+def _words(text: str) -> str:
+    """The words of a text and its commas, colons and ends (as ".") as words of their own, by native string functions.
+
+    Digits become 9 and the capitals of codes one A, so that sums and codes have shapes; all else is in lower case.
+    """
+    gone = "\"“”‘«»()[]{}*~"
+    plain = f"translate({text}, {_q('012345678' + chr(9) + chr(13) + '…' + gone)}, '999999999  .')"
+    plain = f"concat(' ', lower(regexp_replace({plain}, '[A-Z]++(?=-?9)', 'A')))"
+    for title in _TITLES:
+        plain = f"replace({plain}, ' {title}. ', ' {title} ')"
+    for mark, apart in ((", ", " , "), ("; ", " ; "), (": ", " : "), (". ", " . "), ("! ", " . "), ("? ", " . "), ("\\n", " . ")):
+        plain = f"replace({plain}, '{mark}', '{apart}')"
+    return f"array_remove(split({plain}, ' '), '')"
 
-def _grams(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """key, four words z, a, b, c with flags for capitals, end: whether a sentence or the text ends after c, last: whether the text does."""
-    spark = texts.sparkSession
-    texts.select(key, text).createOrReplaceTempView("_cut_texts")
-    spark.sql(
-        f"select `{key}` as k, regexp_extract_all(regexp_replace(`{text}`, r'(?U)[^\\p{{L}}\\p{{M}}\\d%,;:=–—$£€]++\\z', ''), r'{_TOKEN}', 0) as t,"
-        f" `{text}` rlike r'(?U)[?][”\"\\x27\\s]*+\\z' as asked from _cut_texts where `{text}` is not null"
-    ).createOrReplaceTempView("_cut_words")
-    upper = ", ".join(f"x.{w} rlike '^\\\\p{{Lu}}' as u{w}" for w in "zabc")
-    return spark.sql(f"""
-      select k, {', '.join(f"{_word('x.' + w)} as {w}" for w in 'zabc')}, {upper},
-             x.last as last, x.last and not asked and size(filter(t, w -> w rlike r'[0-9\\p{{L}}]')) >= {MIN_WORDS} as open,
-             x.last or coalesce(x.d rlike '^[.!?…\\n]', false) as end
-      from (select k, asked, t, explode(transform(t, (w, i) -> struct(
-              if(get(t, i - 1) rlike '^[.!?…\\n]' or get(t, i - 2) rlike '^[.!?…\\n]', null, get(t, i - 3)) as z,
-              if(get(t, i - 1) rlike '^[.!?…\\n]', null, get(t, i - 2)) as a, get(t, i - 1) as b, w as c, get(t, i + 1) as d, i = size(t) - 1 as last))) as x
-            from _cut_words)
-      where not x.c rlike '^[.!?…\\n]'
-    """)
+
+def _runs(view: str, common: list[str]) -> str:
+    """From words z, a, b, c: the context of three words and the word c; rare words are one class, "^" is a start."""
+    known = _known(common)
+    shown = lambda w, *nearer: f"case when {w} is null or {' or '.join(f'{x} = {_q(chr(46))}' for x in (w, *nearer))} then '^' when {w} < 'a' or {w} in ({known}) then {w} else '<r>' end"
+    return f"select *, concat({shown('z', 'a', 'b')}, ' ', {shown('a', 'b')}, ' ', {shown('b')}) as ctx from {view} where c <> '.'"
+
+
+def _known(common: list[str]) -> str:
+    return ", ".join(_q(w) for w in common) or "''"
+
+
+def _classed(view: str, common: list[str]) -> str:
+    return f"select *, case when c < 'a' or c in ({_known(common)}) then c else '<r>' end as mc, substring_index(ctx, ' ', -2) as two, substring_index(ctx, ' ', -1) as one from {view}"
 
 
 def cut_texts(texts: DataFrame, key: str, text: str) -> DataFrame:
     """The keys of the rows of ``texts`` whose ``text`` was cut."""
     spark = texts.sparkSession
     total = max(1, texts.where(F.col(text).isNotNull()).count())
-    grams = _grams(texts, key, text)
-    flags = ["uz", "ua", "ub", "uc"]
-    counted = cut_lineage(
-        grams.groupBy("z", "a", "b", "c", *flags).agg(F.count("*").alias("n"), F.count(F.when(F.col("end"), 1)).alias("n_end"))
-    )
-    counted.createOrReplaceTempView("_cut_counted")
-    # Bounded: a text has few tokens on average, so few words reach this share of the texts.
-    spark.sql(f"select c as w from _cut_counted group by c having sum(n) >= {max(3.0, COMMON * total)}").createOrReplaceTempView("_cut_common")
-    masked = lambda x: f"if(w{x}.w is not null or {x} = '^' or {x} rlike '^[^a-zA-Z]', {x}, if(coalesce(u{x}, false), '<N>', '<n>')) as m{x}"
-
-    def classed(view: str, extra: str) -> DataFrame:
-        return spark.sql(
-            f"select /*+ {', '.join(f'BROADCAST(w{x})' for x in 'zabc')} */ {', '.join(masked(x) for x in 'zabc')}, c, {extra} from {view} t "
-            + " ".join(f"left join _cut_common w{x} on t.{x} = w{x}.w" for x in "zabc")
-        )
-
-    names = ["mz", "ma", "mb", "mc", "c"]
-    stats = cut_lineage(classed("_cut_counted", "n, n_end").groupBy(*names).agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end")))
-    stats.createOrReplaceTempView("_cut_stats")
-    grams.where("open").select("k", "z", "a", "b", "c", *flags).createOrReplaceTempView("_cut_last")
-    last = cut_lineage(classed("_cut_last", "k"))
-    last.createOrReplaceTempView("_cut_final")
+    bare = F.expr(f"rtrim({_q(_AFTER)}, `{text}`)")
+    texts.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), bare.alias("p")).createOrReplaceTempView("_cut_texts")
+    # Bounded, whatever the number of texts: a text has few words on average, so few words reach this share of the texts.
+    often = spark.sql(f"select w, count(*) as n from (select explode({_words('p')}) as w from _cut_texts) group by w having n >= {max(3.0, COMMON * total)} order by n desc, w limit {MOST_COMMON}")
+    common = sorted(r.w for r in often.collect())
+    # Shifted copies of the words side by side make the runs of four words.
+    spark.sql(f"select array_append(array_prepend(array_prepend(array_prepend({_words('p')}, null), null), null), null) as w from _cut_texts").createOrReplaceTempView("_cut_words")
+    shifted = ", ".join(f"slice(w, {i}, size(w) - 4)" for i in range(1, 6))
+    spark.sql(f"select inline(arrays_zip({shifted})) as (z, a, b, c, d) from _cut_words").createOrReplaceTempView("_cut_runs")
+    spark.sql(_runs("_cut_runs", common)).createOrReplaceTempView("_cut_masked")
+    # Keys of two strings and counts alone keep this a hash aggregation with partial counts.
+    stats = cut_lineage(spark.sql("select ctx, c, count(*) as n, count_if(d is null or d = '.') as n_end from _cut_masked group by ctx, c"))
+    stats.createOrReplaceTempView("_cut_counted")
+    spark.sql(_classed("_cut_counted", common)).createOrReplaceTempView("_cut_stats")
+    # The last words lie in the tail of a text; where words are so long that they do not, the whole text is taken.
+    tail = f"right(p, {_TAIL})"
+    enough = f"length(p) <= {_TAIL} or size(array_remove(split({tail}, ' '), '')) > 8"
+    spark.sql(f"""
+      select k, {_words(f'if({enough}, {tail}, p)')} as w from _cut_texts where right(rtrim({_q(_AFTER.replace('?', ''))}, t), 1) <> '?'
+    """).createOrReplaceTempView("_cut_tails")
+    # The generator stands between the words and their use, so that they are made once.
+    spark.sql(f"""
+      select k, z, a, b, c from (select k, inline(array(struct(
+        get(w, size(w) - 4), get(w, size(w) - 3), get(w, size(w) - 2), get(w, size(w) - 1), size(array_remove(array_remove(w, '.'), ','))))) as (z, a, b, c, size) from _cut_tails)
+      where size >= {MIN_WORDS}
+    """).createOrReplaceTempView("_cut_ends")
+    spark.sql(_runs("_cut_ends", common)).createOrReplaceTempView("_cut_last")
+    last = cut_lineage(spark.sql("select k, ctx, c, c in (',', ';', '–', '—') or right(c, 1) in (',', ';') as hangs from _cut_last"))
+    last.select("ctx", "c").distinct().createOrReplaceTempView("_cut_open")
+    spark.sql(_classed("_cut_open", common)).createOrReplaceTempView("_cut_final")
     level = lambda keys: f"select {keys}, sum(n) as n, sum(n_end) as n_end from _cut_stats group by {keys}"
     verdicts = spark.sql(f"""
-      with finals as (select distinct mz, ma, mb, mc, c from _cut_final),
-      fours as ({level('mz, ma, mb, mc')}), trigrams as ({level('ma, mb, mc')}), bigrams as ({level('mb, mc')}), words as ({level('mc')}),
-      places as (select ma, mb, c, sum(n) as n from _cut_stats group by ma, mb, c),
+      with finals as (select * from _cut_final),
+      fours as ({level('ctx, mc')}), trigrams as ({level('two, mc')}), bigrams as ({level('one, mc')}), words as ({level('mc')}),
+      places as (select two, c, sum(n) as n from _cut_stats group by two, c),
       longer as (
-        select p.ma, p.mb, p.prefix as c, sum(p.n) as n
-        from (select ma, mb, n, explode(transform(sequence(1, least(length(c) - 1, {LONGEST})), i -> left(c, i))) as prefix from places where length(c) > 1) p
-        left semi join finals f on p.ma = f.ma and p.mb = f.mb and p.prefix = f.c
-        group by p.ma, p.mb, p.prefix)
-      select f.mz, f.ma, f.mb, f.mc, f.c,
+        select p.two, p.prefix as c, sum(p.n) as n
+        from (select two, n, explode(transform(sequence(1, least(length(c) - 1, {LONGEST})), i -> left(c, i))) as prefix from places where length(c) > 1) p
+        left semi join finals f on p.two = f.two and p.prefix = f.c
+        group by p.two, p.prefix)
+      select f.ctx, f.c,
              coalesce(l.n >= {MIN_LONGER} and p.n - 1 <= {MAX_WHOLE} * l.n, false)
              or coalesce(case when q.n >= {MIN_GRAM} then q.n_end <= {MAX_TERMINAL} * q.n when t.n >= {MIN_GRAM} then t.n_end <= {MAX_TERMINAL} * t.n
-                              when b.n >= {MIN_BIGRAM} then b.n_end <= {MAX_TERMINAL} * b.n when w.n >= {MIN_WORD} then w.n_end <= {MAX_WORD_TERMINAL} * w.n end, false)
-             or f.c in (',', ';', '–', '—') as is_cut
+                              when b.n >= {MIN_BIGRAM} then b.n_end <= {MAX_TERMINAL} * b.n when w.n >= {MIN_WORD} then w.n_end <= {MAX_WORD_TERMINAL} * w.n end, false) as is_cut
       from finals f
-      left join fours q on f.mz = q.mz and f.ma = q.ma and f.mb = q.mb and f.mc = q.mc
-      left join trigrams t on f.ma = t.ma and f.mb = t.mb and f.mc = t.mc
-      left join bigrams b on f.mb = b.mb and f.mc = b.mc
+      left join fours q on f.ctx = q.ctx and f.mc = q.mc
+      left join trigrams t on f.two = t.two and f.mc = t.mc
+      left join bigrams b on f.one = b.one and f.mc = b.mc
       left join words w on f.mc = w.mc
-      left join places p on f.ma = p.ma and f.mb = p.mb and f.c = p.c
-      left join longer l on f.ma = l.ma and f.mb = l.mb and f.c = l.c
+      left join places p on f.two = p.two and f.c = p.c
+      left join longer l on f.two = l.two and f.c = l.c
     """)
-    return last.join(verdicts.where("is_cut"), names, "left_semi").select(F.col("k").alias(key))
+    found = last.join(verdicts.where("is_cut"), ["ctx", "c"], "left_semi").select("k").union(last.where("hangs").select("k"))
+    return found.distinct().select(F.col("k").alias(key))
 
 
 def replies(option: DataFrame, answer: DataFrame) -> DataFrame:
