@@ -27,7 +27,7 @@ LONGEST = 64  # beginnings of words are looked up to this length; a longer strin
 #: marks and blanks that may stand after a cut or an end
 _AFTER = " \t\r\n.!?…\"'“”‘’«»()[]{}<>*~|_\u00a0\u200b\u200c\u200d\ufeff\u2026\ufffd"
 _TITLES = ("mr", "mrs", "ms", "dr", "sr", "sra")
-_TAIL = 256
+_TAIL = 96
 #: at most so many words are written out, the most frequent ones; COMMON keeps their number far below
 MOST_COMMON = 50_000
 
@@ -41,8 +41,10 @@ def _words(text: str) -> str:
 
     Digits become 9 and the capitals of codes one A, so that sums and codes have shapes; all else is in lower case.
     """
-    gone = "\"“”‘«»()[]{}*~"
-    plain = f"translate({text}, {_q('012345678' + chr(9) + chr(13) + '…' + gone)}, '999999999  .')"
+    plain = text
+    for mark, plainer in (("…", "."), ("\\t", " "), ("\\r", " ")):
+        plain = f"replace({plain}, '{mark}', '{plainer}')"
+    plain = f"regexp_replace(regexp_replace({plain}, r'[\"“”‘«»()\\[\\]{{}}*~]++', ''), '[0-8]', '9')"
     plain = f"concat(' ', lower(regexp_replace({plain}, '[A-Z]++(?=-?9)', 'A')))"
     for title in _TITLES:
         plain = f"replace({plain}, ' {title}. ', ' {title} ')"
