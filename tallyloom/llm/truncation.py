@@ -6,7 +6,7 @@ words that often stand in that place. The word before a trigram sharpens it wher
 too. Rare words fall back to one class, digits to a shape, rare trigrams to bigrams and words, so that names and sums do not hide the pattern around them.
 
 Defined results: null texts, texts of fewer than MIN_WORDS words and texts that end in a question mark are
-never cut; equal texts get equal results; other marks after the last word (dots, ellipses, quotes, replacement characters, line ends) do not matter,
+never cut; equal texts get equal results and count once, however many copies there are; other marks after the last word (dots, ellipses, quotes, replacement characters, line ends) do not matter,
 an open comma, colon or dash does.
 """
 
@@ -28,6 +28,8 @@ LONGEST = 64  # beginnings of words are looked up to this length; a longer strin
 _AFTER = " \t\r\n.!?…\"'“”‘’«»()[]{}<>*~|_\u00a0\u200b\u200c\u200d\ufeff\u2026\ufffd"
 _TITLES = ("mr", "mrs", "ms", "dr", "sr", "sra")
 _TAIL = 96
+#: counts of repeated texts are broadcast up to this number of texts
+MOST_REPEATED = 200_000
 #: at most so many words are written out, the most frequent ones; COMMON keeps their number far below
 MOST_COMMON = 50_000
 
@@ -71,19 +73,26 @@ def _classed(view: str, common: list[str]) -> str:
 def cut_texts(texts: DataFrame, key: str, text: str) -> DataFrame:
     """The keys of the rows of ``texts`` whose ``text`` was cut."""
     spark = texts.sparkSession
-    total = max(1, texts.where(F.col(text).isNotNull()).count())
     bare = F.expr(f"rtrim({_q(_AFTER)}, `{text}`)")
     texts.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), bare.alias("p")).createOrReplaceTempView("_cut_texts")
+    # Each of n copies weighs 1 / n, so that a distinct text counts once without a shuffle of texts.
+    repeated = cut_lineage(spark.sql("select xxhash64(p) as h, count(*) as copies from _cut_texts group by h having copies > 1"))
+    n_repeated, extra = repeated.agg(F.count("*"), F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))).first()
+    total = max(1, spark.table("_cut_texts").count() - extra)
+    if n_repeated <= MOST_REPEATED:
+        repeated = F.broadcast(repeated)
+    weighted = spark.table("_cut_texts").select("p", F.xxhash64("p").alias("h")).join(repeated, "h", "left")
+    weighted.select("p", (1 / F.coalesce("copies", F.lit(1))).alias("share")).createOrReplaceTempView("_cut_weighted")
     # Bounded, whatever the number of texts: a text has few words on average, so few words reach this share of the texts.
-    often = spark.sql(f"select w, count(*) as n from (select explode({_words('p')}) as w from _cut_texts) group by w having n >= {max(3.0, COMMON * total)} order by n desc, w limit {MOST_COMMON}")
+    often = spark.sql(f"select w, cast(round(sum(share)) as bigint) as n from (select share, explode({_words('p')}) as w from _cut_weighted) group by w having n >= {max(3.0, COMMON * total)} order by n desc, w limit {MOST_COMMON}")
     common = sorted(r.w for r in often.collect())
     # Shifted copies of the words side by side make the runs of four words.
-    spark.sql(f"select array_append(array_prepend(array_prepend(array_prepend({_words('p')}, null), null), null), null) as w from _cut_texts").createOrReplaceTempView("_cut_words")
+    spark.sql(f"select array_append(array_prepend(array_prepend(array_prepend({_words('p')}, null), null), null), null) as w, share from _cut_weighted").createOrReplaceTempView("_cut_words")
     shifted = ", ".join(f"slice(w, {i}, size(w) - 4)" for i in range(1, 6))
-    spark.sql(f"select inline(arrays_zip({shifted})) as (z, a, b, c, d) from _cut_words").createOrReplaceTempView("_cut_runs")
+    spark.sql(f"select share, inline(arrays_zip({shifted})) as (z, a, b, c, d) from _cut_words").createOrReplaceTempView("_cut_runs")
     spark.sql(_runs("_cut_runs", common)).createOrReplaceTempView("_cut_masked")
-    # Keys of two strings and counts alone keep this a hash aggregation with partial counts.
-    stats = cut_lineage(spark.sql("select ctx, c, count(*) as n, count_if(d is null or d = '.') as n_end from _cut_masked group by ctx, c"))
+    # Keys of two strings and sums alone keep this a hash aggregation with partial counts.
+    stats = cut_lineage(spark.sql("select ctx, c, cast(round(sum(share)) as bigint) as n, cast(round(sum(if(d is null or d = '.', share, 0D))) as bigint) as n_end from _cut_masked group by ctx, c"))
     stats.createOrReplaceTempView("_cut_counted")
     spark.sql(_classed("_cut_counted", common)).createOrReplaceTempView("_cut_stats")
     # The last words lie in the tail of a text; where words are so long that they do not, the whole text is taken.

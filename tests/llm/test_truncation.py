@@ -22,6 +22,14 @@ def test_cuts_are_told_from_ends(spark):
     assert got == {1000 + i for i in range(len(cut))}
 
 
+def test_copies_of_a_cut_text_count_once(spark):
+    base = corpus()
+    broken = ["A limit of 3 percent applies each time the", "The claimant keeps the kitchen and pays $120,500. A limit of 12 perc"]
+    rows = [(i, t) for i, t in enumerate(base)] + [(1000 + i, broken[i % 2]) for i in range(400)]
+    texts = spark.createDataFrame(rows, "id bigint, body string")
+    assert {r.id for r in truncation.cut_texts(texts, "id", "body").collect()} == {1000 + i for i in range(400)}
+
+
 def test_empty_and_very_long(spark):
     empty = spark.createDataFrame([], "id bigint, body string")
     assert truncation.cut_texts(empty, "id", "body").count() == 0
