@@ -111,6 +111,8 @@ def cut_texts(texts: DataFrame, key: str, text: str) -> DataFrame:
     last = cut_lineage(spark.sql("select k, ctx, c, c in (',', ';', '–', '—') or right(c, 1) in (',', ';') as hangs from _cut_last"))
     last.select("ctx", "c").distinct().createOrReplaceTempView("_cut_open")
     spark.sql(_classed("_cut_open", common)).createOrReplaceTempView("_cut_final")
+    # The end in question is no evidence for itself: it is taken out of both counts.
+    seldom = lambda x, most: f"{x}.n_end - 1 <= {most} * ({x}.n - 1)"
     level = lambda keys: f"select {keys}, sum(n) as n, sum(n_end) as n_end from _cut_stats group by {keys}"
     verdicts = spark.sql(f"""
       with finals as (select * from _cut_final),
@@ -123,8 +125,8 @@ def cut_texts(texts: DataFrame, key: str, text: str) -> DataFrame:
         group by p.two, p.prefix)
       select f.ctx, f.c,
              coalesce(l.n >= {MIN_LONGER} and p.n - 1 <= {MAX_WHOLE} * l.n, false)
-             or coalesce(case when q.n >= {MIN_GRAM} then q.n_end <= {MAX_TERMINAL} * q.n when t.n >= {MIN_GRAM} then t.n_end <= {MAX_TERMINAL} * t.n
-                              when b.n >= {MIN_BIGRAM} then b.n_end <= {MAX_TERMINAL} * b.n when w.n >= {MIN_WORD} then w.n_end <= {MAX_WORD_TERMINAL} * w.n end, false) as is_cut
+             or coalesce(case when q.n >= {MIN_GRAM} then {seldom('q', MAX_TERMINAL)} when t.n >= {MIN_GRAM} then {seldom('t', MAX_TERMINAL)}
+                              when b.n >= {MIN_BIGRAM} then {seldom('b', MAX_TERMINAL)} when w.n >= {MIN_WORD} then {seldom('w', MAX_WORD_TERMINAL)} end, false) as is_cut
       from finals f
       left join fours q on f.ctx = q.ctx and f.mc = q.mc
       left join trigrams t on f.two = t.two and f.mc = t.mc

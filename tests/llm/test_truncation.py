@@ -30,6 +30,13 @@ def test_copies_of_a_cut_text_count_once(spark):
     assert {r.id for r in truncation.cut_texts(texts, "id", "body").collect()} == {1000 + i for i in range(400)}
 
 
+def test_own_end_does_not_vote(spark):
+    rare = [f"The {SUBJECTS[i % 4]} keeps the {THINGS[i // 4 % 4]} once the disputed premium of ${900 + i} was paid." for i in range(20)]
+    rows = list(enumerate([*corpus(), *rare])) + [(1000, "The tenant keeps the orchard once the disputed")]
+    texts = spark.createDataFrame(rows, "id bigint, body string")
+    assert {r.id for r in truncation.cut_texts(texts, "id", "body").collect()} == {1000}
+
+
 def test_empty_and_very_long(spark):
     empty = spark.createDataFrame([], "id bigint, body string")
     assert truncation.cut_texts(empty, "id", "body").count() == 0
