@@ -10,7 +10,8 @@ run is garbled when undoing a learned transformation gives a run that is far mor
 character into several, which correct text does not produce by chance). Replacement characters are lossy:
 such records are reported but not restored.
 
-Defined results: null and empty texts and texts in ASCII are not garbled; equal texts get equal results;
+Defined results: null and empty texts and texts in ASCII are not garbled; equal texts get equal results; copies of a text do not speak for its runs,
+only where distinct texts leave it open do all rows decide;
 accents and marks that are frequent in their place are left alone.
 """
 
@@ -79,10 +80,10 @@ def runs(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 def learned(counts: DataFrame) -> list[str]:
     """Names of the transformations that aligned runs of twins support; at most one for each pair of encodings reaches the driver."""
-    place = counts.groupBy("l", "r").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "run")), asc=False), 1, TWINS).alias("top"))
+    place = counts.groupBy("l", "r").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "rows", "run")), asc=False), 1, TWINS).alias("top"))
     aligned = (
-        counts.join(place, ["l", "r"]).select("run", "n", F.explode("top").alias("clean"))
-        .where("clean.run <> run and clean.n > n").groupBy("run", F.col("clean.run").alias("clean")).agg(F.sum("n").alias("n"))
+        counts.join(place, ["l", "r"]).select("run", "n", "rows", F.explode("top").alias("clean"))
+        .where("clean.run <> run and (clean.n > n or clean.n = n and clean.rows > rows)").groupBy("run", F.col("clean.run").alias("clean")).agg(F.sum("n").alias("n"))
     )
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,29 +98,32 @@ def learned(counts: DataFrame) -> list[str]:
 
 def garbled_runs(found: DataFrame) -> DataFrame:
     """l, run, r (near contexts), clean: the runs that are garbled where they stand; clean is null where the text was lost."""
-    wide = found.groupBy("l", "run", "r").agg(F.count("*").alias("n"))
+    # n counts copies of a text once, for they hold the same runs at the same positions; rows counts them all.
+    each = found.groupBy("l", "run", "r", "v", "at").agg(F.count("*").alias("rows"))
+    wide = each.groupBy("l", "run", "r").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"))
     wide = cut(wide)
     names = set(learned(wide))
-    near = cut(wide.groupBy(F.right("l", F.lit(NEAR)).alias("l"), "run", F.left("r", F.lit(NEAR)).alias("r")).agg(F.sum("n").alias("n")))
-    alone = near.groupBy("run").agg(F.sum("n").alias("n"))
+    near = cut(wide.groupBy(F.right("l", F.lit(NEAR)).alias("l"), "run", F.left("r", F.lit(NEAR)).alias("r")).agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")))
+    alone = near.groupBy("run").agg(F.sum("rows").alias("rows"))
 
     def undo(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = [c for c in chains() if c.name in names]
         for batch in batches:
             rows = [
-                (l_, x, r, n, y, c.grows)
-                for l_, x, r, n in zip(batch["l"], batch["run"], batch["r"], batch["n"], strict=True)
+                (l_, x, r, n, m, y, c.grows)
+                for l_, x, r, n, m in zip(batch["l"], batch["run"], batch["r"], batch["n"], batch["rows"], strict=True)
                 for c in known
                 if (y := c.undo(x)) is not None and y != x and y.strip() and not y.isascii()
             ]
-            yield pd.DataFrame(rows, columns=["l", "run", "r", "n", "clean", "grows"])
+            yield pd.DataFrame(rows, columns=["l", "run", "r", "n", "rows", "clean", "grows"])
 
-    tried = near.where(~F.col("run").contains(LOSSY)).mapInPandas(undo, "l string, run string, r string, n bigint, clean string, grows boolean").distinct()
+    tried = near.where(~F.col("run").contains(LOSSY)).mapInPandas(undo, "l string, run string, r string, n bigint, rows bigint, clean string, grows boolean").distinct()
+    often = lambda n: F.coalesce("here", F.lit(0)) >= F.greatest(F.lit(MIN_CLEAN), F.col(n) * TIMES)
     judged = (
-        tried.join(near.select("l", F.col("run").alias("clean"), "r", F.col("n").alias("here")), ["l", "clean", "r"], "left")
-        .join(alone.select(F.col("run").alias("clean"), F.col("n").alias("anywhere")), "clean", "left")
+        tried.join(near.select("l", F.col("run").alias("clean"), "r", F.col("n").alias("here_n"), F.col("rows").alias("here")), ["l", "clean", "r"], "left")
+        .join(alone.select(F.col("run").alias("clean"), F.col("rows").alias("anywhere")), "clean", "left")
         .where(
-            (F.coalesce("here", F.lit(0)) >= F.greatest(F.lit(MIN_CLEAN), F.col("n") * TIMES))
+            ((F.col("here_n") > F.col("n")) & often("n")) | ((F.col("here_n") >= F.col("n")) & often("rows"))
             | (F.col("grows") & ((F.coalesce("anywhere", F.lit(0)) >= MIN_CLEAN) | (F.length("run") >= F.length("clean") + 2)))
         )
         .groupBy("l", "run", "r").agg(F.max_by("clean", F.struct(F.coalesce("here", F.lit(0)), F.col("grows"), F.coalesce("anywhere", F.lit(0)), "clean")).alias("clean"))

@@ -25,6 +25,14 @@ def test_learns_and_restores(spark):
         assert restored[i][0] == original if original else restored[i][1] == 2
 
 
+def test_copies_of_a_garbled_text_count_once(spark):
+    turned = [garble(CLEAN[3], "cp1252", "cp850"), garble(CLEAN[0], "cp1252", "cp850")]
+    rows = [(i, f"{CLEAN[i % 6]} {i}") for i in range(240)] + [(1000 + i, turned[i % 2]) for i in range(120)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in mojibake.garbled(documents).collect()} == {1000 + i for i in range(120)}
+    assert {r.text for r in mojibake.restored(documents).collect()} == {CLEAN[3], CLEAN[0]}
+
+
 def test_chains_undo():
     chain = mojibake.Chain("utf-8", "cp1252", 2)
     twice = garble(garble("añadió ”", "utf-8", "cp1252"), "utf-8", "cp1252")
