@@ -1,8 +1,8 @@
 """Garbled text from wrong character encoding: find the records and restore the original text.
 
 Runs of non-ASCII characters are looked at between the ASCII letters around them, which a wrong decoding
-leaves as they are. Records that are twins there (equal once stripped of non-ASCII characters) but hold
-different runs align those runs, one to one. From the aligned runs the transformations are inferred: the
+leaves as they are. A window of these letters stands for the record: different runs of equal windows are
+twins, and each run is aligned with every other of its window that undoing some encodings makes of it. From the aligned runs the transformations are inferred: the
 pairs of encodings, applied once or twice, that turn the common run into the rare one. A transformation
 counts when enough different aligned runs support it. Learned mappings are then applied to all records: a
 run is garbled when undoing a learned transformation gives a run that is far more frequent in that place
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from tallyloom.session import cut
 
 NEAR, WIDE = 2, 6
-TWINS = 5
 MIN_PAIRS = 3
 TIMES, MIN_CLEAN = 5, 3
 SINGLE = ("cp1252", "latin-1", "cp437", "cp850", "mac-roman", "cp1251", "koi8-r", "cp866", "iso8859-15", "cp1250", "iso8859-2", "iso8859-5", "cp1253", "cp1254", "cp852")
@@ -80,19 +79,23 @@ def runs(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 def learned(counts: DataFrame) -> list[str]:
     """Names of the transformations that aligned runs of twins support; at most one for each pair of encodings reaches the driver."""
-    place = counts.groupBy("l", "r").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "rows", "run")), asc=False), 1, TWINS).alias("top"))
-    aligned = (
-        counts.join(place, ["l", "r"]).select("run", "n", "rows", F.explode("top").alias("clean"))
-        .where("clean.run <> run and (clean.n > n or clean.n = n and clean.rows > rows)").groupBy("run", F.col("clean.run").alias("clean")).agg(F.sum("n").alias("n"))
-    )
+    present = counts.select("run").distinct()
 
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def undone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = chains()
         for batch in batches:
-            hits = [(c.name, g) for g, t in zip(batch["run"], batch["clean"], strict=True) for c in known if c.undo(g) == t]
-            yield pd.DataFrame(hits, columns=["chain", "run"])
+            hits = [(x, y, c.name) for x in batch["run"] for c in known if (y := c.undo(x)) is not None and y != x]
+            yield pd.DataFrame(hits, columns=["run", "clean", "chain"])
 
-    support = aligned.mapInPandas(explain, "chain string, run string").groupBy("chain").agg(F.count_distinct("run").alias("n"))
+    # What no run of the corpus is falls away before the places are joined, so that every run of a place can be a partner.
+    pairs = present.mapInPandas(undone, "run string, clean string, chain string").join(present.withColumnRenamed("run", "clean"), "clean", "left_semi")
+    pairs = cut(pairs.groupBy("run", "clean").agg(F.collect_list("chain").alias("chains")))
+    partner = counts.select("l", "r", F.col("run").alias("clean"), F.col("n").alias("clean_n"), F.col("rows").alias("clean_rows"))
+    aligned = (
+        counts.join(pairs, "run").join(partner, ["l", "r", "clean"])
+        .where("clean_n > n or clean_n = n and clean_rows > rows").select("run", F.explode("chains").alias("chain"))
+    )
+    support = aligned.groupBy("chain").agg(F.count_distinct("run").alias("n"))
     return sorted(r.chain for r in support.where(F.col("n") >= MIN_PAIRS).collect())
 
 

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tallyloom.llm import mojibake
 
 CLEAN = [
@@ -33,6 +35,14 @@ def test_copies_of_a_garbled_text_count_once(spark):
     assert {r.text for r in mojibake.restored(documents).collect()} == {CLEAN[3], CLEAN[0]}
 
 
+def test_every_run_of_a_place_is_a_partner(spark):
+    often, rare = ["полис", "ущерб", "пожар", "сумма", "договор"], ["банк", "страхование", "выплата"]
+    words = [w for w in often for _ in range(40)] + [w for w in rare for _ in range(10)]
+    rows = [(i, f"{w} {i}") for i, w in enumerate(words)] + [(1000 + i, garble(w, "utf-8", "koi8-r")) for i, w in enumerate(rare)]
+    counts = mojibake.runs(spark.createDataFrame(rows, "doc_id bigint, text string")).withColumn("r", F.lit(" ")).groupBy("l", "run", "r").agg(F.count("*").alias("n"), F.count("*").alias("rows"))
+    assert "utf-8>koi8-r" in mojibake.learned(counts)
+
+
 def test_chains_undo():
     chain = mojibake.Chain("utf-8", "cp1252", 2)
     twice = garble(garble("añadió ”", "utf-8", "cp1252"), "utf-8", "cp1252")
