@@ -540,6 +540,13 @@ def prose_clean(s, d):
     return spoken.select("doc_id", text.filler_free(F.col("text")).alias("prose"))
 
 
+@query()
+def prose_clean_all(s, d):
+    """Every transcript; prose_clean holds those that SQL reads alike."""
+    spoken = table(s, d, "documents").where((F.col("doc_kind") == "transcript") & F.col("text").isNotNull())
+    return spoken.select("doc_id", text.filler_free(F.col("text")).alias("prose"))
+
+
 @query()
 def prose_wrap(s, d):
     return table(s, d, "documents").where("doc_kind = 'transcript'").select("doc_id", F.posexplode(parsing.wrapped_text(F.col("text"))).alias("piece", "line"))
@@ -588,7 +595,17 @@ def quality_gate(s, d):
 @query(f"""with {_GOLD}, o as (select corpus, question_number, max(upper(trim(answer))) as gold from explained_items e join questions_block using (question_number) where upper(trim(e.answer)) in ('A','B','C','D') and e.question_number % 3 = 0 group by all)
   select g.corpus, g.question_number, coalesce(o.gold, g.gold) as gold from gold g left join o using (corpus, question_number)""")
 def override_merge(s, d):
-    e = table(s, d, "explained_items").where("question_number % 3 = 0").select("question_number", text.valid_letter(F.col("answer")).alias("gold")).where("gold is not null")
+    return _overridden_gold(s, d, table(s, d, "explained_items").where("question_number % 3 = 0"))
+
+
+@query()
+def override_merge_all(s, d):
+    """Every explained item overrides; override_merge holds each third."""
+    return _overridden_gold(s, d, table(s, d, "explained_items"))
+
+
+def _overridden_gold(s, d, explained):
+    e = explained.select("question_number", text.valid_letter(F.col("answer")).alias("gold")).where("gold is not null")
     fresh = e.join(_questions(s, d).select("corpus", "question_number"), "question_number").groupBy("corpus", "question_number").agg(F.max("gold").alias("gold"))
     return joins.overridden(_gold(s, d), fresh, ["corpus", "question_number"], "gold")
 
