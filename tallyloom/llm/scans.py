@@ -11,7 +11,8 @@ pairs that scanners confuse are cheap and all other edits are not allowed in sum
 picks among several. A word that holds a mark inside its letters, or digits among them, needs no candidate.
 
 Defined results: null and empty fields have no noise and stay as they are; each kind is reported once for
-a field; equal fields get equal results; a field of one line is never a header; line ends are no noise.
+a field; equal fields get equal results; copies of a field do not speak
+for its words, only where distinct fields leave it open do all decide; a field of one line is never a header; line ends are no noise.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ TITLE_CASE = r"\A\p{Lu}[\p{L}’'-]*+(?:[ ,|]+(?:\p{Lu}[\p{L}’'-]*+|(?:a|an|an
 _L = r"[\p{L}\p{M}\d@|+¢]"
 # Possessive repetitions keep the matcher iterative and linear on strings of any length.
 BREAK = rf"(?<!{_L})((?:{_L}|!(?=\p{{L}})|[’'-](?={_L}))++)([-‐¬\x{{AD}}])[ \t]*+\r?\n\s*+((?:{_L}|!(?=\p{{L}}))(?:{_L}|!(?=\p{{L}})|[’'-](?={_L}))*+)"
+SPLIT = r"(?<=\p{L}|\d|[@|+¢!])[-‐¬\x{AD}][ \t]*\n\s*(?=[\p{Ll}@!|+¢0159])"
+NEIGHBOURS = "transform(words, (w, i) -> struct(coalesce(get(words, i - 1), '') as before, w as word))"
 WORD = rf"(?:{_L}|!(?={_L}))++"
 ODD = r"[@|+¢!]|[\x{FB00}-\x{FB06}]"
 
@@ -152,21 +155,22 @@ def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def misread(body: DataFrame) -> DataFrame:
     """key, word, repair (null where only the marks give it away): each field's misread words."""
-    joined = F.regexp_replace("body", r"(?<=\p{L}|\d|[@|+¢!])[-‐¬\x{AD}][ \t]*\n\s*(?=[\p{Ll}@!|+¢0159])", "")
-    words = body.select(*KEY, _parts(joined).alias("words"))
-    pairs = words.select(*KEY, F.explode(F.expr("transform(words, (w, i) -> struct(coalesce(get(words, i - 1), '') as before, w as word))")).alias("x")).select(*KEY, "x.*")
-    grams = cut(pairs.groupBy("before", "word").agg(F.count("*").alias("n")))
-    counts = grams.groupBy("word").agg(F.sum("n").alias("n"))
+    words = body.select(*KEY, _parts(F.regexp_replace("body", SPLIT, "")).alias("words"))
+    pairs = words.select(*KEY, F.explode(F.expr(NEIGHBOURS)).alias("x")).select(*KEY, "x.*")
+    # n counts words and neighbours over distinct bodies, rows over all.
+    once = body.groupBy("body").agg(F.count("*").alias("rows")).select("rows", _parts(F.regexp_replace("body", SPLIT, "")).alias("words"))
+    grams = cut(once.select("rows", F.explode(F.expr(NEIGHBOURS)).alias("x")).groupBy("x.before", "x.word").agg(F.count("*").alias("n"), F.sum("rows").alias("rows")))
+    counts = grams.groupBy("word").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
     marked = F.col("word").rlike(ODD) | F.col("word").rlike(r"\A(?=.*\d)(?=(?:.*\p{L}){2}).*\z")
-    frequent = counts.where((F.col("n") >= MIN_FREQUENT) & ~marked & F.length("word").between(2, LONGEST)).select(F.col("word").alias("candidate"), F.col("n").alias("nc"))
+    frequent = counts.where((F.col("rows") >= MIN_FREQUENT) & ~marked & F.length("word").between(2, LONGEST)).select(F.col("word").alias("candidate"), F.col("rows").alias("nc"), F.col("n").alias("nc_once"))
     # A misread form of a word is TIMES_RARER rarer, so a word as frequent as that of the most frequent is none.
-    top = counts.agg(F.max("n")).first()[0] or 0
+    top = counts.agg(F.max("rows")).first()[0] or 0
     rare = counts.where(marked | ((F.length("word") >= 3) & (F.col("n") * TIMES_RARER <= top) & F.col("word").rlike("c|ri|cl|ii|rn|b|vv|nn|li|tl")))
-    index = frequent.select("candidate", "nc", F.explode(_deleted(F.col("candidate"))).alias("form"))
-    tried = rare.where(F.length("word") <= LONGEST).select("word", "n", F.explode(_deleted(F.col("word"))).alias("form"))
+    index = frequent.select("candidate", "nc", "nc_once", F.explode(_deleted(F.col("candidate"))).alias("form"))
+    tried = rare.where(F.length("word") <= LONGEST).select("word", "n", "rows", F.explode(_deleted(F.col("word"))).alias("form"))
     candidates = (
-        tried.join(index, "form").where("word <> candidate").select("word", "n", "candidate", "nc").distinct()
-        .where(F.col("nc") >= F.col("n") * TIMES_RARER).mapInPandas(_score, "word string, n bigint, candidate string, nc bigint, cost double")
+        tried.join(index, "form").where("word <> candidate").select("word", "n", "rows", "candidate", "nc", "nc_once").distinct()
+        .where(f"nc_once > n and nc >= n * {TIMES_RARER} or nc_once = n and nc >= rows * {TIMES_RARER}").select("word", "n", "candidate", "nc").mapInPandas(_score, "word string, n bigint, candidate string, nc bigint, cost double")
     )
     candidates = cut(candidates)
     unknown = rare.where(marked).join(candidates.select("word").distinct(), "word", "left_anti").select("word")

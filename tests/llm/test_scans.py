@@ -41,6 +41,13 @@ def test_kinds_of_noise_and_repair(spark):
     assert repaired[n + 8] == "The insured received the policy."
 
 
+def test_copies_of_a_misread_field_count_once(spark):
+    base = [f"The tenant received the certified policy number {chr(97 + i // 26)}{chr(97 + i % 26)}z before renewal." for i in range(60)]
+    found, repaired = noise(spark, base + ["The tcnant received the policy."] * 30)
+    assert found == {60 + i: {"glyph"} for i in range(30)}
+    assert {repaired[60 + i] for i in range(30)} == {"The tenant received the policy."}
+
+
 def test_distance():
     assert scans.distance("narned", "named") < 0.5 and scans.distance("uncler", "under") < 0.5
     assert scans.distance("barn", "bark") >= 1 and scans.distance("same", "same") == 0
