@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import islice
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import squash
@@ -37,14 +39,22 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(queries: DataFrame, base: DataFrame, k: int, most_queries: int = 2_000, block: int = 256) -> DataFrame:
     """query_id, vec_id, score, rank: exact k nearest by cosine; the queries go in blocks against all rows.
 
-    Queries are a bounded set (checked); each task keeps its own best k of a block before anything is shuffled.
+    At most ``most_queries`` go in one pass over the rows; each task keeps its own best k of a block, by rounded score
+    and then the smallest vec_id, before anything is shuffled.
     """
+    rows = queries.select("vec_id", "embedding").toLocalIterator()
+    found = _best(list(islice(rows, most_queries)), base, k, block)
+    while more := list(islice(rows, most_queries)):
+        found = found.unionAll(_best(more, base, k, block))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _best(rows: list[Row], base: DataFrame, k: int, block: int) -> DataFrame:
+    """query_id, vec_id, score: the best k of each batch for each of the queries ``rows``."""
     import numpy as np
     import pandas as pd
 
-    rows = queries.select("vec_id", "embedding").limit(most_queries + 1).collect()
-    if len(rows) > most_queries:
-        raise ValueError(f"at most {most_queries} queries in one call")
     ids = np.array([r.vec_id for r in rows])
     q = np.array([r.embedding for r in rows], dtype=np.float64).reshape(len(rows), -1)
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
@@ -56,18 +66,19 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, most_queries: int = 2_0
                 continue
             v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
             vec, out = batch["vec_id"].to_numpy(), []
+            by_id = np.argsort(vec, kind="stable")
+            v, vec = v[by_id], vec[by_id]
             for start in range(0, len(q), block):
                 scores = q[start : start + block] @ v.T
+                scores = np.copysign(np.floor(np.abs(scores) * 1e6 + 0.5), scores) / 1e6 + 0.0
                 scores[ids[start : start + block, None] == vec[None, :]] = -np.inf
-                best = np.argsort(-scores, axis=1, kind="stable")[:, : k + 8]
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
                 for i, row in enumerate(best):
                     out += [(ids[start + i], vec[j], scores[i, j]) for j in row if scores[i, j] > -np.inf]
             yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     kind = base.schema["vec_id"].dataType.simpleString()
-    found = base.select("vec_id", "embedding").mapInPandas(scan, f"query_id {kind}, vec_id {kind}, score double").withColumn("score", F.round("score", 6))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return base.select("vec_id", "embedding").mapInPandas(scan, f"query_id {kind}, vec_id {kind}, score double")
 
 
 def letter_distribution(letters: DataFrame, by: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from tallyloom.operators import roadmap
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
@@ -39,6 +40,15 @@ def test_every_override_counts(spark):
     assert whole != part
 
 
+def test_nearest_keeps_the_smallest_ids_of_ties_and_any_number_of_queries(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(60, 0, -1)] + [(100 + i, [0.0, 1.0]) for i in range(5)]
+    base = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").coalesce(1)
+    got = {}
+    for r in roadmap.nearest(base.where("vec_id >= 56"), base, 3, most_queries=4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == {i: [(1, 1.0), (2, 1.0), (3, 1.0)] if i <= 60 else [(j, 1.0) for j in range(100, 105) if j != i][:3] for i in [*range(56, 61), *range(100, 105)]}
+
+
 def normal(v):
     if isinstance(v, float):
         return round(v, 6)
