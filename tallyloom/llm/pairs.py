@@ -57,7 +57,6 @@ _QUOTED = re.compile(r"“[^”]*(?:”|$)|«[^»]*(?:»|$)|(?<!\w)\"[^\"]*\"")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _LEAD = re.compile(rf"\A\W*{LEAD_IN}", re.IGNORECASE)
 GOOD_OPTIONS = frozenset("ABCD")
-_MAY_LEAD = re.compile(r"[:–—]|-\s")
 _BARE = {re.sub(r"[\W_]+", "", p) for p in PLACEHOLDERS}
 
 
@@ -153,8 +152,6 @@ def squashed(text: str) -> str:
 
 
 def without_lead(text: str) -> str:
-    if not _MAY_LEAD.search(text, 0, 40):
-        return text
     while (shorter := _LEAD.sub("", text, count=1)) != text:
         text = shorter
     return text
@@ -164,8 +161,6 @@ def is_unusable(text: str | None) -> bool:
     """Null, blank, invisible, bare marks, a lead-in alone, or a placeholder word."""
     if text is None:
         return True
-    if len(text) > 80 and _WORDS.search(text, 40):
-        return False
     core = squashed(without_lead(text + " "))
     return not core or core in _BARE
 
@@ -196,9 +191,6 @@ def is_copy(core: str, source: str) -> bool:
     # A match must reach the last MAX_END characters, so one of the windows there must stand in the source.
     if not any(core[i : i + MIN_MATCH] in source for i in range(max(0, len(core) - MAX_END - MIN_MATCH), len(core) - MIN_MATCH + 1)):
         return False
-    blocks = range(0, len(core) - MIN_MATCH + 1, MIN_MATCH)
-    if sum(core[i : i + MIN_MATCH] in source for i in blocks) * 3 < len(blocks):
-        return False  # what the automaton would find covers far too little
     inside = SuffixAutomaton(source).covered(core, MIN_MATCH)
     gap = most = 0
     for x in inside:

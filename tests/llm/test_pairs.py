@@ -46,3 +46,11 @@ def test_empty(spark):
     options = spark.createDataFrame([], "pred_id bigint, corpus string, run string, question_number int, option string, reason string")
     questions = spark.createDataFrame([], "item_id bigint, corpus string, question_number int, stem string, choices map<string,string>")
     assert pairs.broken(options, options.withColumnRenamed("option", "answer"), questions).count() == 0
+
+
+def test_no_shortcut_hides_a_defect():
+    listed = pairs.squashed("A 12 months B 24 months C 36 months D 48 months")
+    assert pairs.is_copy(listed, pairs.squashed("How long? 12 months 24 months 36 months 48 months"))
+    assert pairs.is_unusable(" " * 80 + "N/A") and pairs.is_unusable("\u200b" * 90 + "Answer: N/A")
+    assert not pairs.is_unusable(" " * 80 + "The binder holds.")
+    assert pairs.without_lead(" " * 60 + "Answer: yes") == "yes"
