@@ -143,12 +143,18 @@ class PhraseAutomaton:
         return False
 
 
-_MARKS = re.compile("[“”«»]")
-_NO_LETTER = re.compile(r"[\W_]+")
+_NO_LETTER, _NO_ASCII_LETTER = re.compile(r"[\W_]+"), re.compile(r"[^a-z0-9]+")
+_ASCII_WORDS = re.compile(r"[a-z]+(?:'[a-z]+)*")
+# More letters and digits than any placeholder word has.
+_LONGER = re.compile(rf"(?:[\W_]*+[^\W_]){{{max(map(len, _BARE)) + 1}}}")
 
 
 def squashed(text: str) -> str:
-    return _NO_LETTER.sub("", text.lower())
+    return _squash(text.lower())
+
+
+def _squash(lower: str) -> str:
+    return (_NO_ASCII_LETTER if lower.isascii() else _NO_LETTER).sub("", lower)
 
 
 def without_lead(text: str) -> str:
@@ -161,7 +167,10 @@ def is_unusable(text: str | None) -> bool:
     """Null, blank, invisible, bare marks, a lead-in alone, or a placeholder word."""
     if text is None:
         return True
-    core = squashed(without_lead(text + " "))
+    core = without_lead(text + " ")
+    if _LONGER.match(core):
+        return False
+    core = squashed(core)
     return not core or core in _BARE
 
 
@@ -169,7 +178,8 @@ def spoken_words(text: str) -> list[str]:
     text = text.lower()
     if "“" in text or '"' in text or "«" in text:
         text = _QUOTED.sub(" ", text)
-    return _WORDS.findall(text.replace("’", "'"))
+    text = text.replace("’", "'")
+    return (_ASCII_WORDS if text.isascii() else _WORDS).findall(text)
 
 
 def language(words: list[str]) -> str | None:
@@ -184,14 +194,30 @@ def language(words: list[str]) -> str | None:
     return best if votes[best] >= 2 and list(votes.values()).count(votes[best]) == 1 else None
 
 
-def is_copy(core: str, source: str) -> bool:
-    """The squashed reply holds nothing but the squashed prompt's own text, with small changes."""
-    if len(core) < MIN_MATCH or not source:
+def may_copy(lower: str, source: str) -> bool:
+    """False only where the automaton would find too long a gap at the end or at the beginning of a reply in lower case.
+
+    Both tests are bounds: a covered character lies in a window of MIN_MATCH characters that stands in the source,
+    and one of the last MAX_END + 1 as well as of the first MAX_GAP + 1 characters must be covered.
+    """
+    least = MAX_END + MIN_MATCH
+    end = _squash(lower[-4 * least :])
+    if len(end) < least and len(lower) > 4 * least:
+        end = _squash(lower)
+    if len(end) < MIN_MATCH or not any(end[i : i + MIN_MATCH] in source for i in range(max(0, len(end) - least), len(end) - MIN_MATCH + 1)):
         return False
-    # A match must reach the last MAX_END characters, so one of the windows there must stand in the source.
-    if not any(core[i : i + MIN_MATCH] in source for i in range(max(0, len(core) - MAX_END - MIN_MATCH), len(core) - MIN_MATCH + 1)):
+    least = MAX_GAP + MIN_MATCH
+    start = _squash(lower[: 4 * least])
+    if len(start) < least and len(lower) > 4 * least:
+        start = _squash(lower)
+    return any(start[i : i + MIN_MATCH] in source for i in range(min(MAX_GAP + 1, len(start) - MIN_MATCH + 1)))
+
+
+def is_copy(core: str, automaton: SuffixAutomaton) -> bool:
+    """The squashed reply holds nothing but the squashed prompt's own text, with small changes."""
+    if len(core) < MIN_MATCH:
         return False
-    inside = SuffixAutomaton(source).covered(core, MIN_MATCH)
+    inside = automaton.covered(core, MIN_MATCH)
     gap = most = 0
     for x in inside:
         gap = 0 if x else gap + 1
@@ -200,15 +226,29 @@ def is_copy(core: str, source: str) -> bool:
     return sum(inside) >= MIN_COVERED * len(inside) and most <= MAX_GAP and gap <= MAX_END
 
 
+_OPENS = {"”": "“", "»": "«", ")": "(", "]": "["}
+#: straight quotes open after a blank or another opening mark and close elsewhere; marks of inches and feet do neither
+_MARKS = re.compile(r"[“”«»()\[\]]|(?<!\S)\"(?=\S)|(?<=[\w.,;:!?%])(?<!\d)\"|(?<=[(\[])\"")
+
+
+_SENTENCE_END = re.compile(r"[.!?]\s")
+
+
 def ends_inside(text: str) -> bool:
-    """The stack of delimiters still holds an opening quotation mark at the end."""
-    stack: list[str] = []
-    for c in _MARKS.findall(text):
-        if c in "“«":
-            stack.append(c)
-        elif stack:
-            stack.pop()
-    return bool(stack)
+    """The stack of delimiters still holds an opening mark at the end; closing marks without an opening one do not count.
+
+    A bracket or a straight quotation mark only counts within the sentence that it opens in, for both also stand alone.
+    """
+    stack: list[tuple[str, int]] = []
+    for m in _MARKS.finditer(text):
+        c = m.group()
+        closes = '"' if c == '"' else _OPENS.get(c)
+        at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == closes), None)
+        if at is not None:
+            del stack[at:]  # what was opened inside and never closed ends with it
+        elif c != '"' and not closes or c == '"' and (not m.start() or text[m.start() - 1] in " \t\r\n(["):
+            stack.append((c, m.end()))
+    return any(c in "“«" or not _SENTENCE_END.search(text, at) for c, at in stack)
 
 
 def asked_languages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,6 +258,7 @@ def asked_languages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def defects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     refusal = PhraseAutomaton(REFUSALS)
+    known, automaton = "", SuffixAutomaton("")  # replies arrive sorted by question
     for batch in batches:
         out = []
         for reason, source, asked in zip(batch["reason"], batch["source"], batch["asked"], strict=True):
@@ -230,8 +271,10 @@ def defects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 out.append("refusal")
             elif asked and (spoken := language(words)) and spoken != asked:
                 out.append("other_language")
-            elif source and is_copy(squashed(core), source):
-                out.append("copies_question")
+            elif source and may_copy(lower := core.lower(), source):
+                if source != known:
+                    known, automaton = source, SuffixAutomaton(source)
+                out.append("copies_question" if is_copy(_squash(lower), automaton) else "truncated" if ends_inside(reason) else None)
             else:
                 out.append("truncated" if ends_inside(reason) else None)
         bad = [not (o is not None and o in GOOD_OPTIONS) and is_unusable(o) for o in batch["option"]]

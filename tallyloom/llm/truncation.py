@@ -1,37 +1,41 @@
-"""Text cut off by field limits: replies that end mid-word or mid-sentence, found in pure SQL.
+"""Text cut off by field limits: replies that end mid-word or mid-sentence, found in pure SQL expressions.
 
 Word trigrams are counted inside texts and at ends (of sentences and of texts). A text is cut when its
 last trigram is frequent inside and almost never terminal, or when its last word is a rare beginning of
 words that often stand in that place. The word before a trigram sharpens it where that longer run is frequent,
 too. Rare words fall back to one class, digits to a shape, rare trigrams to bigrams and words, so that names and sums do not hide the pattern around them.
 
+Every text is split into words twice: once for the words that are frequent, once for the runs. The last
+words of a text come from its last blanks, not from its whole length.
+
 Defined results: null texts, texts of fewer than MIN_WORDS words and texts that end in a question mark are
 never cut; equal texts get equal results and count once, however many copies there are; other marks after the last word (dots, ellipses, quotes, replacement characters, line ends) do not matter,
-an open comma, colon or dash does.
+an open comma, semicolon or dash does, a colon is no end to judge.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.session import cut as cut_lineage
 
-#: a word is written out in trigrams when it occurs in this share of the texts or more, at most
-#: (words a text) / COMMON words then are common, whatever the number of texts
-COMMON = 0.003
+#: a word is written out in trigrams when it makes up this share of all words or more, so at most 1 / COMMON
+#: (13,333) words are, whatever the number and the length of the texts; these alone reach the driver
+COMMON = 7.5e-5
 MIN_GRAM, MIN_BIGRAM, MIN_WORD, MAX_TERMINAL, MAX_WORD_TERMINAL = 12, 40, 200, 0.03, 0.01
 MIN_LONGER, MAX_WHOLE = 4, 0.04
 MIN_WORDS = 3
-LONGEST = 64  # beginnings of words are looked up to this length; a longer string is no beginning of a word
 #: marks and blanks that may stand after a cut or an end
 _AFTER = " \t\r\n.!?…\"'“”‘’«»()[]{}<>*~|_\u00a0\u200b\u200c\u200d\ufeff\u2026\ufffd"
-_TITLES = ("mr", "mrs", "ms", "dr", "sr", "sra")
-_TAIL = 96
+#: so many pieces between blanks hold the last words; where they do not, the whole text is taken
+_TAIL = 9
 #: counts of repeated texts are broadcast up to this number of texts
 MOST_REPEATED = 200_000
-#: at most so many words are written out, the most frequent ones; COMMON keeps their number far below
-MOST_COMMON = 50_000
+
+_BARE = "\"“”‘«»()[]{}*~"
+#: their point ends no sentence
+_TITLES = ("mr", "mrs", "ms", "dr", "sr", "sra")
 
 
 def _q(chars: str) -> str:
@@ -39,106 +43,114 @@ def _q(chars: str) -> str:
 
 
 def _words(text: str) -> str:
-    """The words of a text and its commas, colons and ends (as ".") as words of their own, by native string functions.
+    """The words of a text and its commas, colons and ends (as ".") as words of their own; pieces between blanks can be taken one by one.
 
     Digits become 9 and the capitals of codes one A, so that sums and codes have shapes; all else is in lower case.
     """
     plain = text
-    for mark, plainer in (("…", "."), ("\\t", " "), ("\\r", " ")):
-        plain = f"replace({plain}, '{mark}', '{plainer}')"
-    plain = f"regexp_replace(regexp_replace({plain}, r'[\"“”‘«»()\\[\\]{{}}*~]++', ''), '[0-8]', '9')"
-    plain = f"concat(' ', lower(regexp_replace({plain}, '[A-Z]++(?=-?9)', 'A')))"
-    for title in _TITLES:
-        plain = f"replace({plain}, ' {title}. ', ' {title} ')"
-    for mark, apart in ((", ", " , "), ("; ", " ; "), (": ", " : "), (". ", " . "), ("! ", " . "), ("? ", " . "), ("\\n", " . ")):
-        plain = f"replace({plain}, '{mark}', '{apart}')"
+    for mark, plainer in [*((m, "") for m in _BARE), ("…", "."), ("!", "."), ("?", "."), ("\t", " "), ("\r", " "), ("\n", " . ")]:
+        plain = f"replace({plain}, {_q(mark)}, '{plainer}')"
+    plain = f"concat(' ', lower(regexp_replace(regexp_replace({plain}, '[0-8]', '9'), '[A-Z]++(?=-?9)', 'A')), ' ')"
+    for old, new in [*((f" {t}. ", f" {t} ") for t in _TITLES), *((f"{m} ", f" {m} ") for m in ",;:.")]:
+        plain = f"replace({plain}, '{old}', '{new}')"
     return f"array_remove(split({plain}, ' '), '')"
 
 
-def _runs(view: str, common: list[str]) -> str:
-    """From words z, a, b, c: the context of three words and the word c; rare words are one class, "^" is a start."""
-    known = _known(common)
-    shown = lambda w, *nearer: f"case when {w} is null or {' or '.join(f'{x} = {_q(chr(46))}' for x in (w, *nearer))} then '^' when {w} < 'a' or {w} in ({known}) then {w} else '<r>' end"
-    return f"select *, concat({shown('z', 'a', 'b')}, ' ', {shown('a', 'b')}, ' ', {shown('b')}) as ctx from {view} where c <> '.'"
+def _shown(common: list[str]):
+    """A word in a run: as it is if it is common or no word, "^" at a start, else the class of rare words."""
+    known = ", ".join(_q(w) for w in common) or "''"
+    return lambda w: f"if({w} < 'a' or {w} in ({known}), {w}, '<r>')"
+
+
+def _context(common: list[str]) -> list[str]:
+    """From words z, a, b before a word c: the contexts of three, two and one word; "^" is a start."""
+    shown = _shown(common)
+    one = f"if(b is null or b = '.', '^', {shown('b')})"
+    two = f"if(one = '^' or a is null or a = '.', '^', {shown('a')})"
+    three = f"if(a2 = '^' or z is null or z = '.', '^', {shown('z')})"
+    return [one, two, three]
+
+
+def _runs(words: DataFrame, common: list[str], *kept: str) -> DataFrame:
+    """kept, ctx (three words), c of rows with the words z, a, b, c."""
+    one, two, three = _context(common)
+    return (
+        words.selectExpr(*kept, "z", "a", "c", f"{one} as one").selectExpr(*kept, "z", "c", "one", f"{two} as a2")
+        .selectExpr(*kept, "c", f"concat({three}, ' ', a2, ' ', one) as ctx")
+    )
+
 
+def _keys(runs: DataFrame, common: list[str]) -> DataFrame:
+    """The runs with ``keys``: hashes of their last four words (first) to one, and of their place with the word as it stands (last)."""
+    return (
+        runs.withColumn("mc", F.expr(_shown(common)("c"))).withColumn("two", F.expr("substring_index(ctx, ' ', -2)"))
+        .withColumn("keys", F.expr("array(xxhash64(4, ctx, mc), xxhash64(3, two, mc), xxhash64(2, substring_index(ctx, ' ', -1), mc), xxhash64(1, mc), xxhash64(0, two, c))"))
+    )
 
-def _known(common: list[str]) -> str:
-    return ", ".join(_q(w) for w in common) or "''"
 
+def _weighted(texts: DataFrame) -> DataFrame:
+    """p, share: each of n copies weighs 1 / n, so that a distinct text counts once without a shuffle of texts."""
+    hashed = texts.select("p", F.xxhash64("p").alias("h"))
+    repeated = cut_lineage(hashed.groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1"))
+    if repeated.count() <= MOST_REPEATED:
+        repeated = F.broadcast(repeated)
+    return hashed.join(repeated, "h", "left").select("p", (1 / F.coalesce("copies", F.lit(1))).alias("share"))
 
-def _classed(view: str, common: list[str]) -> str:
-    return f"select *, case when c < 'a' or c in ({_known(common)}) then c else '<r>' end as mc, substring_index(ctx, ' ', -2) as two, substring_index(ctx, ' ', -1) as one from {view}"
+
+def _count(share: Column) -> Column:
+    return F.round(F.sum(share)).cast("bigint")
 
 
 def cut_texts(texts: DataFrame, key: str, text: str) -> DataFrame:
     """The keys of the rows of ``texts`` whose ``text`` was cut."""
-    spark = texts.sparkSession
     bare = F.expr(f"rtrim({_q(_AFTER)}, `{text}`)")
-    texts.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), bare.alias("p")).createOrReplaceTempView("_cut_texts")
-    # Each of n copies weighs 1 / n, so that a distinct text counts once without a shuffle of texts.
-    repeated = cut_lineage(spark.sql("select xxhash64(p) as h, count(*) as copies from _cut_texts group by h having copies > 1"))
-    n_repeated, extra = repeated.agg(F.count("*"), F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))).first()
-    total = max(1, spark.table("_cut_texts").count() - extra)
-    if n_repeated <= MOST_REPEATED:
-        repeated = F.broadcast(repeated)
-    weighted = spark.table("_cut_texts").select("p", F.xxhash64("p").alias("h")).join(repeated, "h", "left")
-    weighted.select("p", (1 / F.coalesce("copies", F.lit(1))).alias("share")).createOrReplaceTempView("_cut_weighted")
-    # Bounded, whatever the number of texts: a text has few words on average, so few words reach this share of the texts.
-    often = spark.sql(f"select w, cast(round(sum(share)) as bigint) as n from (select share, explode({_words('p')}) as w from _cut_weighted) group by w having n >= {max(3.0, COMMON * total)} order by n desc, w limit {MOST_COMMON}")
-    common = sorted(r.w for r in often.collect())
-    # Shifted copies of the words side by side make the runs of four words.
-    spark.sql(f"select array_append(array_prepend(array_prepend(array_prepend({_words('p')}, null), null), null), null) as w, share from _cut_weighted").createOrReplaceTempView("_cut_words")
+    source = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), bare.alias("p"))
+    weighted = _weighted(source)
+    # Outer generators: else the words would be made once more for each condition that Spark infers from a generator.
+    pieces = weighted.selectExpr("share", "explode_outer(split(p, ' ')) as piece").groupBy("piece").agg(F.sum("share").alias("share"))
+    vocabulary = cut_lineage(pieces.selectExpr("share", f"explode_outer({_words('piece')}) as w").where("w is not null").groupBy("w").agg(_count(F.col("share")).alias("n")))
+    total = vocabulary.agg(F.sum("n")).first()[0] or 0
+    common = sorted(r.w for r in vocabulary.where(F.col("n") >= max(3.0, COMMON * total)).select("w").collect())
+    # Shifted copies of the words side by side make the runs of four words and what follows.
+    padded = weighted.selectExpr("share", f"array_append(array_prepend(array_prepend(array_prepend({_words('p')}, null), null), null), null) as w")
     shifted = ", ".join(f"slice(w, {i}, size(w) - 4)" for i in range(1, 6))
-    spark.sql(f"select share, inline(arrays_zip({shifted})) as (z, a, b, c, d) from _cut_words").createOrReplaceTempView("_cut_runs")
-    spark.sql(_runs("_cut_runs", common)).createOrReplaceTempView("_cut_masked")
+    near = padded.selectExpr("share", f"inline_outer(arrays_zip({shifted})) as (z, a, b, c, d)").where("c <> '.'")
     # Keys of two strings and sums alone keep this a hash aggregation with partial counts.
-    stats = cut_lineage(spark.sql("select ctx, c, cast(round(sum(share)) as bigint) as n, cast(round(sum(if(d is null or d = '.', share, 0D))) as bigint) as n_end from _cut_masked group by ctx, c"))
-    stats.createOrReplaceTempView("_cut_counted")
-    spark.sql(_classed("_cut_counted", common)).createOrReplaceTempView("_cut_stats")
-    # The last words lie in the tail of a text; where words are so long that they do not, the whole text is taken.
-    tail = f"right(p, {_TAIL})"
-    enough = f"length(p) <= {_TAIL} or size(array_remove(split({tail}, ' '), '')) > 8"
-    spark.sql(f"""
-      select k, {_words(f'if({enough}, {tail}, p)')} as w from _cut_texts where right(rtrim({_q(_AFTER.replace('?', ''))}, t), 1) <> '?'
-    """).createOrReplaceTempView("_cut_tails")
+    runs = _runs(near.selectExpr("share", "z", "a", "b", "c", "if(d is null or d = '.', share, 0D) as ending"), common, "share", "ending")
+    counted = cut_lineage(runs.groupBy("ctx", "c").agg(_count(F.col("share")).alias("n"), _count(F.col("ending")).alias("n_end")))
+    # The last words lie in the last pieces between blanks, which a text's own splitting leaves as they are.
+    tail = source.where(f"right(rtrim({_q(_AFTER.replace('?', ''))}, t), 1) <> '?'").selectExpr("k", "p", f"substring_index(p, ' ', -{_TAIL}) as tail")
+    tail = tail.selectExpr("k", "p", "tail", f"{_words('tail')} as w")
+    tail = tail.selectExpr("k", f"if(size(w) >= 4 and size(filter(w, x -> x not in ('.', ','))) >= {MIN_WORDS} or length(tail) = length(p), w, {_words('p')}) as w")
     # The generator stands between the words and their use, so that they are made once.
-    spark.sql(f"""
-      select k, z, a, b, c from (select k, inline(array(struct(
-        get(w, size(w) - 4), get(w, size(w) - 3), get(w, size(w) - 2), get(w, size(w) - 1), size(array_remove(array_remove(w, '.'), ','))))) as (z, a, b, c, size) from _cut_tails)
-      where size >= {MIN_WORDS}
-    """).createOrReplaceTempView("_cut_ends")
-    spark.sql(_runs("_cut_ends", common)).createOrReplaceTempView("_cut_last")
-    last = cut_lineage(spark.sql("select k, ctx, c, c in (',', ';', '–', '—') or right(c, 1) in (',', ';') as hangs from _cut_last"))
-    last.select("ctx", "c").distinct().createOrReplaceTempView("_cut_open")
-    spark.sql(_classed("_cut_open", common)).createOrReplaceTempView("_cut_final")
-    # The end in question is no evidence for itself: it is taken out of both counts.
-    seldom = lambda x, most: f"{x}.n_end - 1 <= {most} * ({x}.n - 1)"
-    level = lambda keys: f"select {keys}, sum(n) as n, sum(n_end) as n_end from _cut_stats group by {keys}"
-    verdicts = spark.sql(f"""
-      with finals as (select * from _cut_final),
-      fours as ({level('ctx, mc')}), trigrams as ({level('two, mc')}), bigrams as ({level('one, mc')}), words as ({level('mc')}),
-      places as (select two, c, sum(n) as n from _cut_stats group by two, c),
-      longer as (
-        select p.two, p.prefix as c, sum(p.n) as n
-        from (select two, n, explode(transform(sequence(1, least(length(c) - 1, {LONGEST})), i -> left(c, i))) as prefix from places where length(c) > 1) p
-        left semi join finals f on p.two = f.two and p.prefix = f.c
-        group by p.two, p.prefix)
-      select f.ctx, f.c,
-             coalesce(l.n >= {MIN_LONGER} and p.n - 1 <= {MAX_WHOLE} * l.n, false)
-             or coalesce(case when q.n >= {MIN_GRAM} then {seldom('q', MAX_TERMINAL)} when t.n >= {MIN_GRAM} then {seldom('t', MAX_TERMINAL)}
-                              when b.n >= {MIN_BIGRAM} then {seldom('b', MAX_TERMINAL)} when w.n >= {MIN_WORD} then {seldom('w', MAX_WORD_TERMINAL)} end, false) as is_cut
-      from finals f
-      left join fours q on f.ctx = q.ctx and f.mc = q.mc
-      left join trigrams t on f.two = t.two and f.mc = t.mc
-      left join bigrams b on f.one = b.one and f.mc = b.mc
-      left join words w on f.mc = w.mc
-      left join places p on f.two = p.two and f.c = p.c
-      left join longer l on f.two = l.two and f.c = l.c
-    """)
+    ends = tail.selectExpr(
+        "k", "inline_outer(array(struct(get(w, size(w) - 4), get(w, size(w) - 3), get(w, size(w) - 2), get(w, size(w) - 1), size(filter(w, x -> x not in ('.', ',')))))) as (z, a, b, c, size)"
+    ).where(f"size >= {MIN_WORDS} and c not in ('.', ':')")
+    last = cut_lineage(_runs(ends, common, "k").selectExpr("k", "ctx", "c", "c in (',', ';', '–', '—') as hangs"))
+    verdicts = _verdicts(counted, last.select("ctx", "c").distinct(), common)
     found = last.join(verdicts.where("is_cut"), ["ctx", "c"], "left_semi").select("k").union(last.where("hangs").select("k"))
     return found.distinct().select(F.col("k").alias(key))
 
 
+def _verdicts(counted: DataFrame, finals: DataFrame, common: list[str]) -> DataFrame:
+    """ctx, c, is_cut: the first level at which a final run is frequent decides, or a word that is a rare beginning of others."""
+    # Beginnings are only built of the lengths that some last word has.
+    lengths = finals.agg(F.collect_set(F.length("c"))).scalar()
+    shorter = _keys(counted, common).withColumn("lengths", lengths).withColumn("lengths", F.filter("lengths", lambda x: x < F.length("c")))
+    # One shuffle of hashes serves all levels: what is counted is n and n_end of the five keys and, as ``longer``, n of each beginning.
+    stats = shorter.selectExpr(
+        "inline_outer(concat(transform(keys, k -> struct(k as k, n as n, n_end as n_end, 0L as longer)),"
+        " transform(lengths, x -> struct(xxhash64(0, two, left(c, x)) as k, 0L as n, 0L as n_end, n as longer))))"
+    ).groupBy("k").agg(*[F.sum(x).alias(x) for x in ("n", "n_end", "longer")])
+    asked = _keys(finals, common).selectExpr("ctx", "c", "posexplode_outer(keys) as (level, k)")
+    at = lambda level, column: f"max(if(level = {level}, {column}, null))"
+    # The end in question is no evidence for itself: it is taken out of both counts.
+    seldom = lambda level, least, most: f"when {at(level, 'n')} >= {least} then {at(level, 'n_end')} - 1 <= {most} * ({at(level, 'n')} - 1)"
+    by_run = f"case {seldom(0, MIN_GRAM, MAX_TERMINAL)} {seldom(1, MIN_GRAM, MAX_TERMINAL)} {seldom(2, MIN_BIGRAM, MAX_TERMINAL)} {seldom(3, MIN_WORD, MAX_WORD_TERMINAL)} else false end"
+    by_start = f"coalesce({at(4, 'longer')} >= {MIN_LONGER} and {at(4, 'n')} - 1 <= {MAX_WHOLE} * {at(4, 'longer')}, false)"
+    return asked.join(stats, "k").groupBy("ctx", "c").agg(F.expr(f"{by_run} or {by_start}").alias("is_cut"))
+
+
 def replies(option: DataFrame, answer: DataFrame) -> DataFrame:
     """pred_id, run, reason of both kinds of run."""
     return option.select("pred_id", "run", "reason").unionByName(answer.select("pred_id", "run", "reason"))

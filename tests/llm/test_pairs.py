@@ -50,7 +50,34 @@ def test_empty(spark):
 
 def test_no_shortcut_hides_a_defect():
     listed = pairs.squashed("A 12 months B 24 months C 36 months D 48 months")
-    assert pairs.is_copy(listed, pairs.squashed("How long? 12 months 24 months 36 months 48 months"))
+    source = pairs.squashed("How long? 12 months 24 months 36 months 48 months")
+    assert pairs.may_copy(listed, source) and pairs.is_copy(listed, pairs.SuffixAutomaton(source))
+    assert pairs.is_unusable("Reason: " * 12) and pairs.is_unusable("- " * 45 + "n/a") and pairs.is_unusable(" " * 45 + "Reason:")
     assert pairs.is_unusable(" " * 80 + "N/A") and pairs.is_unusable("\u200b" * 90 + "Answer: N/A")
     assert not pairs.is_unusable(" " * 80 + "The binder holds.")
     assert pairs.without_lead(" " * 60 + "Answer: yes") == "yes"
+
+
+def test_bounds_before_the_automaton_lose_no_copy():
+    import random
+
+    rng = random.Random(7)
+    alphabet, kept = "abcdefgh ,.é", 0
+    for _ in range(3000):
+        prompt = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 160)))
+        reply = list(prompt[rng.randint(0, 8) : rng.randint(20, 200)])
+        for k in range(rng.randint(6, 15), len(reply), rng.randint(9, 15)):
+            reply[k] = rng.choice("xyz")
+        reply = rng.choice(["", "so: ", "zzzz zzzz zzzz zzzz "]) + "".join(reply) + rng.choice(["", "?", " qqqqq qqqqq", " qqqqq qqqqq qqqqq qqqqq"])
+        source = pairs.squashed(prompt)
+        if source and pairs.is_copy(pairs.squashed(reply), pairs.SuffixAutomaton(source)):
+            kept += 1
+            assert pairs.may_copy(reply.lower(), source)
+    assert kept > 300
+
+
+def test_delimiters():
+    inside = ["He said “no", "see (page 3", "the form [as signed", 'He wrote "no cover', "«no “cover”", "(a “b)  “c"]
+    outside = ["He said “no”.", "a) first b) second", 'a 5" pipe', 'He wrote "no cover".', "(see [page 3])", "“a (b”", "One (of two. The form holds.", 'the "A" form and the ("B") form', ""]
+    assert [pairs.ends_inside(x) for x in inside] == [True] * len(inside)
+    assert [pairs.ends_inside(x) for x in outside] == [False] * len(outside)
