@@ -28,6 +28,8 @@ SYNONYMS = {
     "reason": ["reason", "why", "rationale", "justification", "explanation"],
     "latency_s": ["latency_s", "elapsed", "duration"],
 }
+#: letters before a number and a unit after it are no part of its value
+AFFIX = r"\A\p{L}++(?=[0-9])|(?<=[0-9])\s*+\p{L}++\z"
 TYPES = {"question_number": "bigint", "choice": "string", "reason": "string", "latency_s": "double"}
 
 
@@ -117,20 +119,25 @@ def _first_of_names(cells: Column) -> Column:
 
 
 def unified(files: DataFrame, lines: DataFrame, synonyms: dict[str, list[str]] = SYNONYMS, types: dict[str, str] = TYPES) -> DataFrame:
-    """One row for each data line: file_id, line_no, the typed columns, all other columns as a map, the names of failed casts."""
-    target = F.create_map(*[F.lit(x) for to, names in synonyms.items() for n in names for x in (n, to)])
-    cell = path_values(lines).withColumn("target", F.coalesce(target[F.col("name")], F.col("name")))
-    value = F.nullif(F.col("value"), F.lit(""))
-    rows = cell.groupBy("file_id", "line_no").agg(
-        *[F.min(F.when(F.col("target") == t, value)).alias(f"raw_{t}") for t in synonyms],
-        F.map_from_entries(
-            _first_of_names(F.sort_array(F.collect_list(F.when(~F.col("target").isin(*synonyms), F.struct("place", "target", "value")))))
-        ).alias("others"),
-    )
-    typed = {t: F.expr(f"try_cast(regexp_replace(raw_{t}, '^[Qq]0*|[ ]s$', '') as {types[t]})" if types[t] != "string" else f"raw_{t}") for t in synonyms}
+    """One row for each data line: file_id, line_no, the typed columns, all other columns as a map, the names of failed casts.
+
+    Of several names of one column in a file the first in the declared order that holds a value counts; the
+    others stay among the other columns under their own names, and so does a value whose cast fails.
+    """
+    order = {n: (to, i) for to, names in synonyms.items() for i, n in enumerate(names)}
+    target = F.create_map(*[F.lit(x) for n, (to, _) in order.items() for x in (n, to)])
+    rank = F.create_map(*[F.lit(x) for n, (_, i) in order.items() for x in (n, i)])
+    named = F.col("name")
+    cell = path_values(lines).withColumn("target", F.coalesce(target[named], named)).withColumn("rank", rank[named]).withColumn("value", F.nullif("value", F.lit("")))
+    raw = {t: F.min(F.when((F.col("target") == t) & F.col("rank").isNotNull() & F.col("value").isNotNull(), F.struct("rank", "place", "name", "value"))).alias(f"raw_{t}") for t in synonyms}
+    other = F.collect_list(F.struct("place", F.col("name").alias("target"), "value", F.col("rank").isNotNull().alias("known")))
+    rows = cell.groupBy("file_id", "line_no").agg(*raw.values(), F.sort_array(other).alias("cells"))
+    typed = {t: F.expr(f"try_cast(regexp_replace(raw_{t}.value, r'{AFFIX}', '') as {types[t]})") if types[t] != "string" else F.col(f"raw_{t}.value") for t in synonyms}
+    taken = F.array_compact(F.array(*[F.when(typed[t].isNotNull(), F.col(f"raw_{t}.name")) for t in synonyms]))
+    others = F.filter("cells", lambda c: ~c["known"] | (c["value"].isNotNull() & ~F.array_contains(taken, c["target"])))
     failed = F.array_compact(F.array(*[F.when(F.col(f"raw_{t}").isNotNull() & typed[t].isNull(), F.lit(t)) for t in synonyms]))
     return rows.join(files.select("file_id", "feed_id", "run", "corpus"), "file_id").select(
-        "file_id", "line_no", "feed_id", "run", "corpus", *[c.alias(t) for t, c in typed.items()], "others", failed.alias("failed_casts")
+        "file_id", "line_no", "feed_id", "run", "corpus", *[c.alias(t) for t, c in typed.items()], F.map_from_entries(_first_of_names(others)).alias("others"), failed.alias("failed_casts")
     )
 
 

@@ -106,6 +106,16 @@ def test_changes(spark):
     assert {r.n_values for r in drift.statistics(lines).where("file_id = 0").collect()} == {2}
 
 
+def test_synonyms_in_one_file_keep_both_values(spark):
+    contents = [["question_number,answer,option", "7,A,D", "8,A,", "x9y,B,C", "10,,"], ["option,choice,latency_s", "A,B,12 sec", "C,,soon"]]
+    files, lines, _ = changes(spark, contents)
+    got = {(r.file_id, r.line_no): (r.question_number, r.choice, r.latency_s, r.others, r.failed_casts) for r in drift.unified(files, lines).collect()}
+    assert got == {
+        (0, 1): (7, "D", None, {"answer": "A"}, []), (0, 2): (8, "A", None, {}, []), (0, 3): (9, "C", None, {"answer": "B"}, []), (0, 4): (10, None, None, {}, []),
+        (1, 1): (None, "A", 12.0, {"choice": "B"}, []), (1, 2): (None, "C", None, {"latency_s": "soon"}, ["latency_s"]),
+    }
+
+
 def test_odd_files(spark):
     contents = [["a,a,b", "1,2,3"], [""], ["a,b", "1,2,3,4", "5"], ["c"]]
     _, lines, got = changes(spark, contents)
