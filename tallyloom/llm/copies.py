@@ -1,19 +1,25 @@
 """Duplicates hidden by formatting differences: equal after lower-casing and dropping all but letters and digits.
 
-Keys are counted with partial counts in two levels (key and salt, then key), so a key that holds a third
-of all rows costs no task more than its share. Keys with more members than HOT are found exactly from
-those counts; they are few by construction (at most rows / HOT), so they are joined by broadcast when
-they fit BROADCAST_KEYS, else with salts; all other keys take one shuffle.
+Each item is read once and becomes its id and a digest of its canonical form. Keys are counted with partial
+counts, which find the hot ones (more than HOT members) exactly. Members of hot keys are salted and grouped
+in two levels (key and salt, then key), so a key that holds a third of all rows costs no task more than its
+share; all other keys take one shuffle, with at most HOT rows of a key in a task.
+
+Hot keys are few by construction (at most rows / HOT); they are joined by broadcast when they fit
+BROADCAST_KEYS, else with salts.
 
 Defined results: a null stem equals a stem without letters or digits; null choices are left out, a null
-map has none; the representative is the smallest id; repeated rows with one id are one item.
+map has none; the representative is the smallest id; repeated rows with one id are one item; items without
+an id are left out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.session import cut
+
 HOT, SALTS, BROADCAST_KEYS = 10_000, 64, 50_000
 
 
@@ -32,37 +38,35 @@ def keyed(items: DataFrame, key: str = "item_id", stem: str = "stem", choices: s
     return items.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), canonical(F.col(stem), F.col(choices)).alias("digest"))
 
 
-def groups(keys: DataFrame) -> DataFrame:
-    """digest, kept_id, n_copies: one row for each group, singletons included."""
-    salted = keys.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    once = salted.groupBy("digest", "salt", "id").agg(F.lit(1).alias("one"))
-    first = once.groupBy("digest", "salt").agg(F.min("id").alias("kept_id"), F.count("*").alias("n"))
-    return first.groupBy("digest").agg(F.min("kept_id").alias("kept_id"), F.sum("n").alias("n_copies"))
+def _salt() -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
 
 
-def with_kept(keys: DataFrame, groups_: DataFrame) -> DataFrame:
-    """id, kept_id, n_copies for every member of a group of two or more."""
-    several = groups_.where("n_copies > 1")
-    hot = several.where(F.col("n_copies") > HOT)
-    if hot.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        hot_part = keys.join(F.broadcast(hot), "digest")
+def members(items: DataFrame) -> DataFrame:
+    """id, digest, kept_id, n_copies of every item, singletons included."""
+    keys = cut(keyed(items).distinct())
+    hot = cut(keys.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("digest"))
+    few = hot.count() <= BROADCAST_KEYS
+    small = F.broadcast if few else lambda frame: frame
+    group = Window.partitionBy("digest")
+    cold = keys.join(small(hot), "digest", "left_anti").select("id", "digest", F.min("id").over(group).alias("kept_id"), F.count("*").over(group).alias("n_copies"))
+    salted = keys.join(small(hot), "digest", "left_semi").withColumn("salt", _salt())
+    first = salted.groupBy("digest", "salt").agg(F.min("id").alias("kept_id"), F.count("*").alias("n"))
+    grouped = first.groupBy("digest").agg(F.min("kept_id").alias("kept_id"), F.sum("n").alias("n_copies"))
+    if few:
+        warm = salted.join(F.broadcast(grouped), "digest")
     else:
-        spread = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hot_part = keys.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(spread, ["digest", "salt"])
-    cold_part = keys.join(several.where(F.col("n_copies") <= HOT), "digest")
-    columns = ["id", "digest", "kept_id", "n_copies"]
-    return cold_part.select(columns).unionByName(hot_part.select(columns))
+        warm = salted.join(grouped.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["digest", "salt"])
+    return cold.unionByName(warm.select("id", "digest", "kept_id", "n_copies"))
 
 
 def copies(items: DataFrame) -> DataFrame:
     """kept_id, copy_id: one row for each member but the representative."""
-    keys = keyed(items)
-    return with_kept(keys, groups(keys)).where("id <> kept_id").select("kept_id", F.col("id").alias("copy_id")).distinct()
+    return members(items).where("id <> kept_id").select("kept_id", F.col("id").alias("copy_id"))
 
 
 def collapsed(items: DataFrame) -> DataFrame:
     """The representatives with all their columns and n_copies."""
-    keys = keyed(items)
-    kept = groups(keys).select(F.col("kept_id").alias("item_id"), "n_copies")
+    kept = members(items).where("id = kept_id").select(F.col("id").alias("item_id"), "n_copies")
     clashing = [c for c in ("n_copies",) if c in items.columns]
-    return items.drop(*clashing).dropDuplicates(["item_id"]).join(kept, "item_id")
+    return items.drop(*clashing).dropDuplicates(["item_id"]).join(kept.groupBy("item_id").agg(F.max("n_copies").alias("n_copies")), "item_id")
