@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -227,54 +228,61 @@ def is_copy(core: str, automaton: SuffixAutomaton) -> bool:
 
 
 _OPENS = {"”": "“", "»": "«", ")": "(", "]": "["}
-#: straight quotes open after a blank or another opening mark and close elsewhere; marks of inches and feet do neither
-_MARKS = re.compile(r"[“”«»()\[\]]|(?<!\S)\"(?=\S)|(?<=[\w.,;:!?%])(?<!\d)\"|(?<=[(\[])\"")
-
-
+_MARKS = re.compile(r"[“”«»()\[\]\"]")
 _SENTENCE_END = re.compile(r"[.!?]\s")
 
 
 def ends_inside(text: str) -> bool:
     """The stack of delimiters still holds an opening mark at the end; closing marks without an opening one do not count.
 
-    A bracket or a straight quotation mark only counts within the sentence that it opens in, for both also stand alone.
+    A straight quotation mark opens after a blank or a bracket, and closes after anything but a digit (inches). A
+    bracket or a straight quotation mark only counts within the sentence that it opens in, for both also stand alone.
     """
     stack: list[tuple[str, int]] = []
     for m in _MARKS.finditer(text):
-        c = m.group()
-        closes = '"' if c == '"' else _OPENS.get(c)
-        at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == closes), None)
+        c, before = m.group(), text[m.start() - 1 : m.start()]
+        if c == '"':
+            opens = before in " \t\r\n(["  # or nothing
+            closes = None if opens or before.isdigit() else c
+        else:
+            closes = _OPENS.get(c)
+            opens = closes is None
+        at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == closes), None) if closes else None
         if at is not None:
             del stack[at:]  # what was opened inside and never closed ends with it
-        elif c != '"' and not closes or c == '"' and (not m.start() or text[m.start() - 1] in " \t\r\n(["):
+        elif opens:
             stack.append((c, m.end()))
     return any(c in "“«" or not _SENTENCE_END.search(text, at) for c, at in stack)
 
 
-def asked_languages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield batch.assign(asked=[language(spoken_words(p)) for p in batch.pop("prompt")])
+@lru_cache(maxsize=4096)
+def _posed(prompt: str) -> tuple[str, str | None]:
+    """A question's squashed text and language; replies arrive sorted by question, so it is made about once for each."""
+    return squashed(prompt), language(spoken_words(prompt))
+
+
+@lru_cache(maxsize=64)
+def _automaton(source: str) -> SuffixAutomaton:
+    return SuffixAutomaton(source)
 
 
 def defects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     refusal = PhraseAutomaton(REFUSALS)
-    known, automaton = "", SuffixAutomaton("")  # replies arrive sorted by question
     for batch in batches:
         out = []
-        for reason, source, asked in zip(batch["reason"], batch["source"], batch["asked"], strict=True):
+        for reason, prompt in zip(batch["reason"], batch["prompt"], strict=True):
             if is_unusable(reason):
                 out.append("empty")
                 continue
             core = without_lead(reason)
             words = spoken_words(core)
+            source, asked = _posed(prompt) if prompt else ("", None)
             if refusal.found(words):
                 out.append("refusal")
             elif asked and (spoken := language(words)) and spoken != asked:
                 out.append("other_language")
             elif source and may_copy(lower := core.lower(), source):
-                if source != known:
-                    known, automaton = source, SuffixAutomaton(source)
-                out.append("copies_question" if is_copy(_squash(lower), automaton) else "truncated" if ends_inside(reason) else None)
+                out.append("copies_question" if is_copy(_squash(lower), _automaton(source)) else "truncated" if ends_inside(reason) else None)
             else:
                 out.append("truncated" if ends_inside(reason) else None)
         bad = [not (o is not None and o in GOOD_OPTIONS) and is_unusable(o) for o in batch["option"]]
@@ -290,11 +298,7 @@ def broken(option: DataFrame, answer: DataFrame, questions: DataFrame) -> DataFr
     keys = ["corpus", "question_number"]
     first = questions.groupBy(*keys).agg(F.min_by(F.struct("stem", _values(F.col("choices")).alias("choices")), "item_id").alias("q"))
     prompt = F.concat_ws("\n", F.coalesce("q.stem", F.lit("")), F.coalesce("q.choices", F.array().cast("array<string>")))
-    # Squashed and voted on once a question, not once a reply.
-    source = F.regexp_replace(F.lower(prompt), r"[^\p{L}\p{N}]++", "")
-    kinds = {c: questions.schema[c].dataType.simpleString() for c in keys}
-    asked = first.select(*keys, source.alias("source"), prompt.alias("prompt")).mapInPandas(asked_languages, f"corpus {kinds['corpus']}, question_number {kinds['question_number']}, source string, asked string")
-    posed = option.select("pred_id", *keys, "option", "reason").join(asked, keys, "left").select("pred_id", "option", "reason", "source", "asked")
+    posed = option.select("pred_id", *keys, "option", "reason").join(first.select(*keys, prompt.alias("prompt")), keys, "left").select("pred_id", "option", "reason", "prompt")
     kind = option.schema["pred_id"].dataType.simpleString()
     judged = posed.mapInPandas(defects, f"pred_id {kind}, option_bad boolean, defect string")
     cut = cut_texts(replies(option, answer), "pred_id", "reason").select("pred_id", F.lit("truncated").alias("cut")).distinct()
