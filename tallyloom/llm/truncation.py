@@ -42,7 +42,7 @@ def _q(chars: str) -> str:
     return "'" + chars.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\t", "\\t").replace("\r", "\\r") + "'"
 
 
-def _words(text: str) -> str:
+def _words(text: str, before: str = " ", after: str = " ") -> str:
     """The words of a text and its commas, colons and ends (as ".") as words of their own; pieces between blanks can be taken one by one.
 
     Digits become 9 and the capitals of codes one A, so that sums and codes have shapes; all else is in lower case.
@@ -50,7 +50,7 @@ def _words(text: str) -> str:
     plain = text
     for mark, plainer in [*((m, "") for m in _BARE), ("…", "."), ("!", "."), ("?", "."), ("\t", " "), ("\r", " "), ("\n", " . ")]:
         plain = f"replace({plain}, {_q(mark)}, '{plainer}')"
-    plain = f"concat(' ', lower(regexp_replace(regexp_replace({plain}, '[0-8]', '9'), '[A-Z]++(?=-?9)', 'A')), ' ')"
+    plain = f"concat('{before}', lower(regexp_replace(regexp_replace({plain}, '[0-8]', '9'), '[A-Z]++(?=-?9)', 'A')), '{after}')"
     for old, new in [*((f" {t}. ", f" {t} ") for t in _TITLES), *((f"{m} ", f" {m} ") for m in ",;:.")]:
         plain = f"replace({plain}, '{old}', '{new}')"
     return f"array_remove(split({plain}, ' '), '')"
@@ -111,12 +111,12 @@ def cut_texts(texts: DataFrame, key: str, text: str) -> DataFrame:
     vocabulary = cut_lineage(pieces.selectExpr("share", f"explode_outer({_words('piece')}) as w").where("w is not null").groupBy("w").agg(_count(F.col("share")).alias("n")))
     total = vocabulary.agg(F.sum("n")).first()[0] or 0
     common = sorted(r.w for r in vocabulary.where(F.col("n") >= max(3.0, COMMON * total)).select("w").collect())
-    # Shifted copies of the words side by side make the runs of four words and what follows.
-    padded = weighted.selectExpr("share", f"array_append(array_prepend(array_prepend(array_prepend({_words('p')}, null), null), null), null) as w")
+    # Shifted copies of the words side by side make the runs of four words and what follows; ends stand before and after each text.
+    padded = weighted.selectExpr("share", f"{_words('p', ' . . . ', ' . ')} as w")
     shifted = ", ".join(f"slice(w, {i}, size(w) - 4)" for i in range(1, 6))
     near = padded.selectExpr("share", f"inline_outer(arrays_zip({shifted})) as (z, a, b, c, d)").where("c <> '.'")
     # Keys of two strings and sums alone keep this a hash aggregation with partial counts.
-    runs = _runs(near.selectExpr("share", "z", "a", "b", "c", "if(d is null or d = '.', share, 0D) as ending"), common, "share", "ending")
+    runs = _runs(near.selectExpr("share", "z", "a", "b", "c", "if(d = '.', share, 0D) as ending"), common, "share", "ending")
     counted = cut_lineage(runs.groupBy("ctx", "c").agg(_count(F.col("share")).alias("n"), _count(F.col("ending")).alias("n_end")))
     # The last words lie in the last pieces between blanks, which a text's own splitting leaves as they are.
     tail = source.where(f"right(rtrim({_q(_AFTER.replace('?', ''))}, t), 1) <> '?'").selectExpr("k", "p", f"substring_index(p, ' ', -{_TAIL}) as tail")
