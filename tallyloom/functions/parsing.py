@@ -1,225 +1,151 @@
-"""Parsers of free-text model replies and spoken items, as Arrow-backed functions.
+"""Parsers of spoken and printed items, as Arrow-backed functions where columns cannot express the order of steps.
 
-Strategies with different results stay apart by name: ``strict`` reads labelled lines and what is left of
-them, ``simple`` takes any letter on a labelled line, ``loose`` infers from phrases, ``forced`` always
-gives a letter.
+Model replies are read by ``replies``, in the JVM.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-REPLY = T.StructType([T.StructField("letter", T.StringType()), T.StructField("reason", T.StringType())])
-
-_LABEL = re.compile(r"\s*(?:OPTION|ANSWER)\s*:\s*(.*)", re.IGNORECASE)
-_REASON = re.compile(r"\s*REASON\s*:\s*(.*)", re.IGNORECASE)
-_LEADING = re.compile(r"\W*([ABCD])\b", re.IGNORECASE)
-_LETTER = re.compile(r"\b([A-D])\b")
-_BECAUSE = re.compile(r"\b(?:because|since|as)\b\s*(.{16,})", re.IGNORECASE | re.DOTALL)
-_PHRASES = [
-    re.compile(p)
-    for p in (
-        r"\b(?:CORRECT|BEST|RIGHT)\s+(?:ANSWER|OPTION|CHOICE)\s+(?:IS|WOULD BE|:)\s*\(?([ABCD])\b",
-        r"\bANSWER\s*(?:IS|:|=)\s*\(?([ABCD])\b",
-        r"\b(?:OPTION|CHOICE)\s*(?:IS|:|=)?\s*\(?([ABCD])\b",
-        r"\b([ABCD])\s+IS\s+(?:THE\s+)?(?:CORRECT|BEST|RIGHT)\b",
-        r"\b(?:CHOOSE|SELECT|PICK)\s+\(?([ABCD])\b",
-    )
-]
-_CHOICE_LINE = re.compile(r"\s*([ABCD])[.):]\s*(.*)", re.IGNORECASE)
-ECHOES = ("MULTIPLE CHOICE", "QUESTION:", "CHOICES:", "REPLY WITH", "RESPOND WITH", "YOUR ANSWER", "FORMAT:", "INSTRUCTIONS")
-
-
-def loose_letter(reply: str | None) -> str | None:
-    """A letter inferred from phrases, choice lines and lone letters: the last 12 lines backwards, then all forwards."""
-    lines = [x for x in (reply or "").splitlines() if x.strip()]
-    for line in [*reversed(lines[-12:]), *lines]:
-        upper = line.upper().strip()
-        for pattern in _PHRASES:
-            if m := pattern.search(upper):
-                return m.group(1)
-        if (m := _CHOICE_LINE.match(line)) and len(line) < 120 and len(m.group(2)) < 12:
-            return m.group(1).upper()
-        if re.fullmatch(r"\W*[ABCD]\W*", upper):
-            return re.sub(r"\W", "", upper)
-    return None
-
-
-def strict_reply(reply: str | None) -> tuple[str | None, str]:
-    """Later labelled lines win among the first twelve; the reason is its own block, or what follows a "because"."""
-    text = (reply or "").replace("\0", "")
-    lines = [x for x in text.splitlines() if x.strip()]
-    letter, tail_reason, block, inside = None, "", [], False
-    for i, line in enumerate(lines):
-        if label := _LABEL.match(line):
-            inside = False
-            if i < 12 and (m := _LEADING.match(label.group(1))):
-                letter = m.group(1).upper()
-                if because := _BECAUSE.search(label.group(1)[m.end() :]):
-                    tail_reason = because.group(1)
-        elif reason := _REASON.match(line):
-            inside = True
-            block = [reason.group(1)]
-        elif inside:
-            block.append(line)
-    reason = " ".join(" ".join(block).split()) or " ".join(tail_reason.split()) or " ".join(text.split())
-    return letter or loose_letter(text), reason
-
-
-def simple_reply(reply: str | None) -> tuple[str | None, str]:
-    """Any letter on a labelled line (an echoed list of all four gives A); the reason only from its line."""
-    letter, reason = None, ""
-    for line in (reply or "").splitlines():
-        if label := _LABEL.match(line):
-            if letter is None and (m := _LETTER.search(label.group(1).upper())):
-                letter = m.group(1)
-        elif m := _REASON.match(line):
-            reason = " ".join(m.group(1).split())
-    return letter, reason
-
-
-def forced_letter(reply: str | None, stem: str | None) -> str:
-    """A phrase's letter, else the last standalone letter, else one from the SHA-256 of the stem."""
-    upper = (reply or "").upper()
-    for pattern in _PHRASES:
-        if m := pattern.search(upper):
-            return m.group(1)
-    if found := _LETTER.findall(upper):
-        return found[-1]
-    return "ABCD"[int(hashlib.sha256((stem or "").encode()).hexdigest(), 16) % 4]
-
-
-def is_echo(reply: str | None) -> bool:
-    upper = (reply or "").upper()
-    return any(e in upper for e in ECHOES) or upper.count("OPTION:") > 1
-
-
-def clean_reason(reply: str | None, most: int = 500) -> str:
-    """The reason of a reply: its block, else the first sentence of 25 to 500 characters, else a fixed message; capped."""
-    text = " ".join((reply or "").split())
-    m = re.search(r"REASON\s*:\s*(.*?)(?=(?:OPTION|ANSWER)\s*:|$)", text, re.IGNORECASE)
-    reason = m.group(1).strip() if m else ""
-    if not reason and not is_echo(text):
-        reason = next((s for s in re.split(r"(?<=[.!?])\s+", text) if 25 <= len(s) <= 500), "")
-    reason = re.sub(r"^Question\s+\d+\s*:\s*", "", reason) or "No reason given."
-    return reason if len(reason) <= most else reason[: most - 3] + "..."
-
-
-def first_phase_reason(reply: str | None, most: int = 4000, brief: int = 800) -> tuple[str, str]:
-    """From the reason's label to the option's, else the whole text; capped at ``most`` and, for display, at ``brief``."""
-    m = re.search(r"REASON\s*:\s*(.*?)(?=OPTION\s*:|$)", reply or "", re.IGNORECASE | re.DOTALL)
-    text = " ".join((m.group(1) if m else reply or "").split())
-    return text[:most], text[:brief]
+LETTERS = "ABCD"
+CHOICES = T.MapType(T.StringType(), T.StringType())
+_MARKER = re.compile(r"\s([a-d])\s+", re.IGNORECASE)
+
+
+def _squeezed(text: str) -> str:
+    return " ".join(text.split())
 
 
 def peeled_options(text: str | None) -> dict[str, str]:
-    """Options of a spoken item, taken off from the right: D, C, B, A behind lone letters."""
-    rest, found = f" {text or ''} ", {}
-    for letter in "DCBA":
-        at = rest.upper().rfind(f" {letter} ")
-        if at >= 0:
-            found[letter] = rest[at + 3 :].strip()
-            rest = rest[: at + 1]
-    return {k: found[k] for k in sorted(found)} if len(found) >= 3 else {}
+    """Options of a spoken item behind lone letters.
+
+    Taken off from the right, D to A, each at the last place of its letter; where one is missing, the last four
+    (or three) lone letters mark the options in the order in which they stand. Fewer than three give none.
+    """
+    rest, found = (text or "").strip(), {}
+    for letter in reversed(LETTERS):
+        marks = [m for m in re.finditer(rf"(?i)\s{letter}\s+(?=\S)", rest)]
+        if not marks:
+            break
+        found[letter] = rest[marks[-1].end() :].strip()
+        rest = rest[: marks[-1].start()].strip()
+    else:
+        return {k: found[k] for k in LETTERS}
+    marks = list(_MARKER.finditer(text or ""))[-4:]
+    if len(marks) < 3:
+        return {}
+    ends = [m.start() for m in marks[1:]] + [len(text)]
+    options = dict.fromkeys(LETTERS, "")
+    for m, end in zip(marks, ends, strict=True):
+        options[m.group(1).upper()] = text[m.end() : end].strip()
+    return options
 
 
 def wrapped(text: str | None, most: int = 550) -> list[str]:
     """The text in pieces of at most ``most`` characters, cut at the last blank; a word longer than that is cut hard."""
-    rest, out = text or "", []
+    rest, out = (text or "").strip(" "), []
     while len(rest) > most:
-        at = rest.rfind(" ", 0, most + 1)
+        at = rest.rfind(" ", 1, most + 1)
         at = at if at > 0 else most
-        out.append(rest[:at].rstrip())
-        rest = rest[at:].lstrip()
-    return [*out, rest] if rest else out
+        out.append(rest[:at].strip())
+        rest = rest[at:].lstrip(" ")
+    return [*out, rest.strip()] if rest.strip() else out
 
 
-def folded_options(options: list[str] | None, want: int = 4) -> list[str]:
-    """Option lines brought to four: continuations (lower case or a sum) join what stands before, the tail joins the last."""
-    out: list[str] = []
-    for line in options or []:
-        if out and len(options) > want and re.match(r"[a-z$]", line):
-            out[-1] += " " + line
-        else:
-            out.append(line)
-    if len(out) == want - 1 and (wide := next((i for i, x in enumerate(out) if re.search(r"\S\s{3,}\S", x)), None)) is not None:
-        out[wide : wide + 1] = re.split(r"\s{3,}", out[wide], maxsplit=1)
-    return [*out[: want - 1], " ".join(out[want - 1 :])] if len(out) > want else out
+def paragraphs(pieces: list[str]) -> str:
+    """Pieces as paragraphs; where letters or digits meet at a break, a blank stays before it."""
+    joints = [" " if a[-1:].isalnum() and b[:1].isalnum() else "" for a, b in zip(pieces, pieces[1:], strict=False)]
+    return "\n\n".join(a + j for a, j in zip(pieces, [*joints, ""], strict=False))
+
+
+def split_row(options: list[str], least: int = 15, least_rest: int = 8) -> list[str]:
+    """Three rows of which the first holds two options, told by letters set apart, become four."""
+    if len(options) != 3:
+        return options
+    for gap in (r"\s+(?=P\s+e)", r"\s+(?=T\s+o)"):
+        m = re.search(gap, options[0], re.IGNORECASE)
+        if m and m.start() >= least:
+            first, second = options[0][: m.start()].strip(), options[0][m.end() :].strip()
+            return [first, second, *options[1:]] if len(second) >= least_rest else options
+    return options
 
 
-def numbered_item(lines: list[str] | None) -> dict:
-    """Stem, the options behind 1) to 4) with their wraps, and the option whose beginning the tail repeats."""
+def folded_options(options: list[str] | None, want: int = 4) -> list[str]:
+    """Option lines brought to four, or none: one line too many joins the last, else continuations join what stands before, then the tail the last."""
+    rows = split_row([_squeezed(x) for x in options or [] if x and x.strip()])
+    if len(rows) == want + 1:
+        return [*rows[: want - 1], " ".join(rows[want - 1 :])]
+    if len(rows) <= want:
+        return rows if len(rows) == want else []
+    # A line goes on with the one before if it begins in lower case, or with a sum where no sentence has ended.
+    goes_on = [False] + [b[0].islower() or (b[0] == "$" and a[-1] not in "?.!") for a, b in zip(rows, rows[1:], strict=False)]
+    group = list(accumulate(not x for x in goes_on))
+    joined = [" ".join(r for r, g in zip(rows, group, strict=True) if g == k) for k in sorted(set(group))]
+    return [*joined[: want - 1], " ".join(joined[want - 1 :])] if len(joined) >= want else []
+
+
+def numbered_item(lines: list[str] | None, least: int = 15, most: int = 60, own: int = 40) -> dict:
+    """Stem, the options behind 1. to 4. with their wraps, and the letter of the option whose beginning the tail repeats.
+
+    Where no option's beginning (``least`` to ``most`` characters) is in the tail, a tail that starts with a digit 1 to
+    4 and repeats the first ``own`` characters of that option answers by its digit.
+    """
     stem, options, tail = [], [], []
     for line in lines or []:
-        m = re.match(r"\s*([1-4])[.)]\s+(.*)", line)
-        if m and int(m.group(1)) == len(options) + 1:
+        m = re.match(r"\s*([1-4])\s*[.)]\s*(.*)", line)
+        if m and len(options) < 4 and int(m.group(1)) == len(options) + 1:
             options.append(m.group(2))
         elif not options:
             stem.append(line)
-        elif len(options) < 4 or re.match(r"\s*[a-z$]", line):
+        elif len(options) < 4 or (not tail and re.match(r"\s*[a-z$]", line)):
             options[-1] += " " + line.strip()
         else:
             tail.append(line)
-    after = " ".join(" ".join(tail).split()).lower()
-    answer = next((i for i, o in enumerate(options) if len(o) >= 15 and " ".join(o.split()).lower()[:60] in after), None)
-    return {"stem": " ".join(" ".join(stem).split()), "options": options, "answer": None if answer is None else "ABCD"[answer]}
+    after = _squeezed(" ".join(tail)).lower()
+    heads = [_squeezed(o).lower() for o in options]
+    answer = next((i for i, h in enumerate(heads) if len(h) >= least and h[:most] in after), None)
+    digit = re.match(r"([1-4])\s*[.)]\s*(.*)", after)
+    if answer is None and digit and (i := int(digit.group(1)) - 1) < len(heads) and heads[i][:own] and digit.group(2).startswith(heads[i][:own]):
+        answer = i
+    return {"stem": _squeezed(" ".join(stem)), "options": [_squeezed(o) for o in options], "answer": None if answer is None else LETTERS[answer]}
 
 
 def _udf(function, kind):
     @F.pandas_udf(kind)
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(function)
-
-    return run
-
-
-def _struct_udf(function):
-    @F.pandas_udf(REPLY)
-    def run(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([function(x) for x in text], columns=["letter", "reason"])
+    def run(value: pd.Series) -> pd.Series:
+        return value.map(lambda x: function(None if x is None else x))
 
     return run
 
 
-def parsed_strict(c: Column) -> Column:
-    return _struct_udf(strict_reply)(c)
-
+def wrapped_text(c: Column) -> Column:
+    return _udf(wrapped, T.ArrayType(T.StringType()))(c)
 
-def parsed_simple(c: Column) -> Column:
-    return _struct_udf(simple_reply)(c)
 
+def prose_paragraphs(c: Column) -> Column:
+    return _udf(lambda x: paragraphs(wrapped(x)), T.StringType())(c)
 
-def parsed_loose(c: Column) -> Column:
-    return _udf(loose_letter, T.StringType())(c)
 
+def peeled(c: Column) -> Column:
+    return _udf(peeled_options, CHOICES)(c)
 
-def cleaned_reason(c: Column) -> Column:
-    return _udf(clean_reason, T.StringType())(c)
 
+def folded(c: Column) -> Column:
+    return _udf(lambda x: folded_options(None if x is None else list(x)), T.ArrayType(T.StringType()))(c)
 
-def wrapped_text(c: Column) -> Column:
-    return _udf(wrapped, T.ArrayType(T.StringType()))(c)
 
+def numbered(c: Column) -> Column:
+    """(stem, options, answer) of an array of lines."""
+    kind = T.StructType([T.StructField("stem", T.StringType()), T.StructField("options", T.ArrayType(T.StringType())), T.StructField("answer", T.StringType())])
 
-def peeled(c: Column) -> Column:
-    @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(peeled_options)
+    @F.pandas_udf(kind)
+    def run(value: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([numbered_item(None if x is None else list(x)) for x in value], columns=["stem", "options", "answer"])
 
     return run(c)
-
-
-def forced(reply: Column, stem: Column) -> Column:
-    """``forced_letter`` in the JVM: phrase, then last letter, then hash; the last digit of the hash decides as the whole does."""
-    from tallyloom.functions.text import hashed_letter
-
-    upper = F.upper(reply)
-    phrases = [F.nullif(F.regexp_extract(upper, p.pattern, 1), F.lit("")) for p in _PHRASES]
-    last = F.try_element_at(F.regexp_extract_all(upper, F.lit(r"\b([A-D])\b"), F.lit(1)), F.lit(-1))
-    return F.coalesce(*phrases, last, hashed_letter(F.coalesce(stem, F.lit(""))))

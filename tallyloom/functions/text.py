@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyloom.functions.tables import PHRASE_FIXES
 from tallyloom.schema import LETTERS
 
 SPACE = r"(?U)\s+"
@@ -123,8 +124,12 @@ def hashed_letter(c: Column) -> Column:
 
 
 def filler_free(c: Column) -> Column:
-    """Spoken text without fillers, without blanks before punctuation, squeezed."""
-    return squeeze(F.regexp_replace(F.regexp_replace(c, r"(?i)\b(?:uh|um|er|hm)\b[,.]?\s*", ""), r"\s+([,.;:?!])", "$1"))
+    """Spoken text without fillers, without blanks before punctuation, one blank after commas, known phrases put right."""
+    bare = squeeze(F.regexp_replace(squeeze(c), r"(?i)(?<![\p{L}\p{N}_])(?:uh|um|er|hm)(?![\p{L}\p{N}_])\s*", ""))
+    text = F.regexp_replace(F.regexp_replace(bare, r"\s+([.,;!?])", "$1"), r",\s*", ", ")
+    for said, meant in PHRASE_FIXES:
+        text = F.replace(text, F.lit(said), F.lit(meant))
+    return text
 
 
 def luminance(r: Column, g: Column, b: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.text import valid_letter
+from tallyloom.operators.dedupe import numbered
 from tallyloom.schema import bucket_dimension
 
 
@@ -15,12 +17,12 @@ def histogram(assigned: DataFrame) -> DataFrame:
 
 
 def deficit_plan(assigned: DataFrame, target: int) -> DataFrame:
-    """bucket, have, keep, generate, total for a target size of each bucket."""
+    """bucket, have, keep, generate for a target size of each bucket, and in total what all eight lack."""
     have = F.col("n")
-    return histogram(assigned).select(
+    plan = histogram(assigned).select(
         "bucket", have.alias("have"), F.least(have, F.lit(target)).cast("bigint").alias("keep"), F.greatest(F.lit(0), F.lit(target) - have).cast("bigint").alias("generate"),
-        F.lit(target).cast("bigint").alias("total"),
     )
+    return plan.withColumn("total", F.sum("generate").over(Window.partitionBy()))  # eight rows
 
 
 def first_of_each(items: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
@@ -50,8 +52,8 @@ def laid_out(ordinal: Column, per_bucket: int) -> Column:
 
 def batches(items: DataFrame, order: str, size: int, by: list[str]) -> DataFrame:
     """by, batch, members: consecutive slices of ``size`` within ``by``."""
-    numbered = items.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
-    return numbered.groupBy(*by, F.floor((F.col("_n") - 1) / size).cast("bigint").alias("batch")).agg(F.array_sort(F.collect_list(order)).alias("members"))
+    slices = numbered(items.select(*by, order), order, by).withColumn("batch", F.floor((F.col("ordinal") - 1) / size).cast("bigint"))
+    return slices.groupBy(*by, "batch").agg(F.array_sort(F.collect_list(order)).alias("members"))
 
 
 def split_band(id_: Column, test: int = 10, validation: int = 20) -> Column:
@@ -69,6 +71,34 @@ def well_formed(stem: Column, choices: Column, least_stem: int = 25, least_optio
     )
 
 
+#: names of the gates, with the least length of a stem and of an option, and whether options must differ
+GATES = {"generated": (25, 8, True), "cards": (10, 2, True), "repaired": (1, 3, False), "pages": (1, 1, True)}
+
+
+def passes(gate: str, stem: Column, choices: Column, letter: Column | None = None) -> Column:
+    """Whether an item passes one of GATES; where a letter is given it must be one of A to D and name an option."""
+    least_stem, least_option, distinct = GATES[gate]
+    values = F.transform(F.filter(F.map_values(choices), lambda v: v.isNotNull()), F.trim)
+    good = (F.length(F.trim(F.coalesce(stem, F.lit("")))) >= least_stem) & (F.size(values) == 4) & F.forall(values, lambda v: F.length(v) >= least_option)
+    if distinct:
+        good = good & (F.size(F.array_distinct(values)) == 4)
+    if letter is not None:
+        good = good & F.coalesce(valid_letter(letter).isNotNull() & F.array_contains(F.map_keys(choices), valid_letter(letter)), F.lit(False))
+    return F.coalesce(good, F.lit(False))
+
+
+def as_item(stem: Column, choices: Column, answer: Column, number: Column) -> Column:
+    """A flat item (stem, A to D, answer, notes) with a note of where it comes from."""
+    letters = [F.trim(F.coalesce(F.try_element_at(choices, F.lit(x)), F.lit(""))).alias(x) for x in "ABCD"]
+    return F.struct(stem.alias("stem"), *letters, answer.alias("answer"), F.concat(F.lit("kept_from_q"), number.cast("string")).alias("notes"))
+
+
+def review_counts(items: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """parsed, removed, kept: items, those whose key is among the dropped, and the rest."""
+    hit = items.select(key).join(dropped.select(key).distinct().withColumn("hit", F.lit(1)), key, "left")
+    return hit.agg(F.count("*").alias("parsed"), F.count("hit").alias("removed"), (F.count("*") - F.count("hit")).alias("kept"))
+
+
 def answerable(choices: Column) -> Column:
     """Two or more non-empty choices."""
     return F.size(F.filter(F.map_values(choices), lambda v: F.trim(v) != "")) >= 2

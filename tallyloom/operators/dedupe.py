@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,9 +41,26 @@ def against_accepted(fresh: DataFrame, accepted: DataFrame, stem: str, order: st
     return flagged(open_, F.col("_known"), order).where("not is_duplicate").drop("is_duplicate", "_known")
 
 
+def numbered(items: DataFrame, order: str, by: list[str]) -> DataFrame:
+    """The items with ``ordinal`` 1 to N within ``by``, in order; ties by all other columns that can be sorted.
+
+    Rows are sorted into ranges of (by, order); a row's number is the count of its group in the ranges before, plus its
+    place in its range. So a group that holds a third of all rows is spread over as many tasks as its share of rows.
+    """
+    ranged = items.repartitionByRange(*[F.col(c) for c in [*by, order]]).withColumn("_range", F.spark_partition_id())
+    ranged = cut(ranged)
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    offsets = offsets.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_of"), "_before")
+    ties = [c for c, kind in items.dtypes if c not in (*by, order) and not kind.startswith(("map", "variant"))]
+    place = F.row_number().over(Window.partitionBy("_range", *by).orderBy(order, *ties))
+    same = (F.col("_range") == F.col("_of")) & reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by], F.lit(True))
+    return ranged.withColumn("_place", place).join(offsets, same).select(*items.columns, (F.col("_before") + F.col("_place")).alias("ordinal"))
+
+
 def renumbered(items: DataFrame, order: str, by: list[str]) -> DataFrame:
     """The items with new_number 1 to N within ``by``, in order."""
-    return items.withColumn("new_number", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
+    return numbered(items, order, by).withColumn("ordinal", F.col("ordinal").cast("int")).withColumnRenamed("ordinal", "new_number")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

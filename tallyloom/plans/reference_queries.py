@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions import parsing, rules, similarity, text
-from tallyloom.operators import balance, dedupe, joins, judging, modelcall, roadmap, scoring
+from tallyloom.functions import parsing, replies, rules, similarity, text
+from tallyloom.functions.tables import MODEL_SIZES, TOPIC_KEYWORDS
+from tallyloom.operators import balance, cards, dedupe, joins, judging, modelcall, roadmap, scoring
+from tallyloom.schema import BUCKETS
 from tallyloom.session import cut, table
 from tallyloom.sources import blocks, documents, keys, sinks
 from tallyloom.streaming import run_log
@@ -17,15 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 CORPORA = ["from_pdf_cards", "from_video", "synthetic"]
-#: words of this material's topics, tried in this order
-TOPIC_RULES = [
-    (3, ["commissioner", "surplus line"]), (2, ["contract", "warranty", "concealment", "estoppel"]), (6, ["actual cash value", "replacement cost", "salvage value"]),
-    (5, ["homeowners", "dwelling", "condominium", "renters"]), (7, ["liability", "inland marine", "umbrella"]), (8, ["commercial", "fidelity", "surety", "workers compensation", "ocean marine"]),
-    (4, ["hazard", "proximate cause", "risk"]),
-]
-SIZE_RULES = [("70B", "70b"), ("13B", "13b"), ("8B", "8b"), ("3B", "3b"), ("1B", "1b")]
-
-
 def query(sql: str | None = None):
     def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[f.__name__] = f
@@ -81,8 +74,7 @@ _LETTERS = """letters as (select corpus, run, question_number, arg_max(l, row(an
 _ACC = """acc as (select corpus, run, count(*) as compared, count(*) filter (letter = gold) as correct, count(*) filter (letter <> gold) as wrong,
     round_even(count(*) filter (letter = gold)::double * 100 / count(*), 2) as pct
   from letters join gold using (corpus, question_number) group by corpus, run)"""
-_DIM = """dim as (select * from (values (1,'Basic concepts'),(2,'Contract law'),(3,'CA laws & ethics'),(4,'Tort & property fundamentals'),(5,'Residential property'),
-    (6,'Valuation & government programs'),(7,'Personal liability & inland marine'),(8,'Commercial insurance')) t(bucket, bucket_name))"""
+_DIM = f"dim as (select * from (values {', '.join(f'({i}, {chr(39)}{name}{chr(39)})' for i, name in BUCKETS)}) t(bucket, bucket_name))"
 _LONG = f"""{_GOLD}, {_LETTERS}, {_DIM},
   b as (select corpus, question_number, question_number % 8 + 1 as bucket from questions_block),
   stats as (select corpus, run, bucket, count(*) as n, count(*) filter (letter = gold) as correct from letters join gold using (corpus, question_number) join b using (corpus, question_number) group by all),
@@ -229,11 +221,11 @@ def conditional_mean_score(s, d):
 
 def _topic(s, d):
     blob = text.spaced(F.concat_ws(" ", F.coalesce("stem", F.lit("")), _values()))
-    return _questions(s, d).select("item_id", rules.first_match(blob, TOPIC_RULES, 1).alias("bucket"))
+    return _questions(s, d).select("item_id", rules.tagged_match(blob, TOPIC_KEYWORDS, 1).alias("x")).select("item_id", "x.bucket", "x.tag")
 
 
-_CASE = "case " + " ".join(f"when {' or '.join(f'contains(t, $${w}$$)' for w in words)} then {b}" for b, words in TOPIC_RULES) + " else 1 end"
-_TOPIC = f"""topic as (select item_id, {_CASE} as bucket from (
+_CASE = lambda k: "case " + " ".join(f"when {' or '.join(f'contains(t, $${w}$$)' for w in r[2])} then {r[0] if k == 'bucket' else chr(39) + r[1] + chr(39)}" for r in TOPIC_KEYWORDS) + (" else 1 end" if k == "bucket" else " else 'default' end")
+_TOPIC = f"""topic as (select item_id, {_CASE('bucket')} as bucket, {_CASE('tag')} as tag from (
   select item_id, trim(regexp_replace(lower(coalesce(stem, '') || ' ' || array_to_string(map_values(choices), ' ')), '[^a-z0-9]+', ' ', 'g')) as t from questions_block))"""
 
 
@@ -248,15 +240,20 @@ def bucket_histogram(s, d):
 
 
 @query(f"""with {_TOPIC}, {_DIM}, h as (select d.bucket, count(item_id) as n from dim d left join topic using (bucket) group by all)
-  select bucket, n as have, least(n, 100)::bigint as keep, greatest(0, 100 - n)::bigint as generate, 100::bigint as total from h""")
+  select bucket, n as have, least(n, 100)::bigint as keep, greatest(0, 100 - n)::bigint as generate, (sum(greatest(0, 100 - n)) over ())::bigint as total from h""")
 def bucket_deficit_plan(s, d):
     return balance.deficit_plan(_topic(s, d), 100)
 
 
-@query("select run, case " + " ".join(f"when contains(lower(run), '{k}') then '{v}'" for v, k in SIZE_RULES) + " else '—' end as size from (select distinct run from predictions_option union select distinct run from predictions_answer)")
+def _size_sql() -> str:
+    met = lambda names, without: "(" + " or ".join(f"contains(r, '{n}')" for n in names) + ")" + "".join(f" and not contains(r, '{n}')" for n in without)
+    return "case " + " ".join(f"when {met(names, without)} then '{v}'" for v, names, without in MODEL_SIZES) + " else '—' end"
+
+
+@query(f"select run, {_size_sql()} as size from (select run, lower(run) as r from (select run from predictions_option union select run from predictions_answer))")
 def parameter_sizes(s, d):
     runs = _option(s, d).select("run").union(table(s, d, "predictions_answer").select("run")).distinct()
-    return runs.select("run", rules.first_match(F.lower("run"), [(v, [k]) for v, k in SIZE_RULES], "—").alias("size"))
+    return runs.select("run", rules.first_of_names(F.lower("run"), MODEL_SIZES, "—").alias("size"))
 
 
 @query("select deck, item_id, question_number from (select *, row_number() over (partition by deck order by question_number, item_id) as r from questions_block) where r <= 5")
@@ -347,28 +344,66 @@ def first_letter_parse(s, d):
     return _option(s, d).select("pred_id", letter.alias("letter"), text.letter_index(letter).alias("letter_index"))
 
 
-@query()
+_FORMS = [
+    "concat('OPTION: ', o, chr(10), 'REASON: ', r)", "concat('Thinking.', chr(10), 'Answer: ', o, ' because ', r)", "concat('OPTION: A, B, C or D', chr(10), chr(10), 'reason: ', r, chr(10), 'ANSWER: ', o)",
+    "concat('The correct answer is ', o, '. ', r)", "concat(r, chr(10), '(', o, ')')", "concat('A. none of the losses at all', chr(10), 'B. all of them', chr(10), o, ') ', r)", "r",
+]
+_FORM = f"case {' '.join(f'when pred_id % 7 = {i} then {f}' for i, f in enumerate(_FORMS))} end"
+
+
+def _replied(s, d):
+    """Replies in the seven forms that models give them."""
+    raw = _option(s, d).selectExpr("pred_id", "corpus", "coalesce(option, '') as o", "coalesce(reason, '') as r")
+    return raw.select("pred_id", "corpus", F.expr(_FORM).alias("reply"))
+
+
+_BLANKS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_strip = lambda x: rf"regexp_replace(regexp_replace({x}, '^{_BLANKS}+', ''), '{_BLANKS}+$', '')"
+_LINES = rf"""replied as (select pred_id, corpus, {_FORM} as reply from (select pred_id, corpus, coalesce(option, '') as o, coalesce(reason, '') as r from predictions_option)),
+  lined as (select *, {_strip('reply')} as whole, list_filter([{_strip('x')} for x in regexp_split_to_array(reply, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')], lambda x: x <> '') as l from replied)"""
+_line_letter = lambda x: f"""case when regexp_matches({x}, '^[A-D]\\.\\s+.{{12,}}') and length({x}) > 50 then null else upper(coalesce(
+  {', '.join(f"nullif(regexp_extract(upper({x}), '{p}', 1), '')" for p in replies.PHRASES)},
+  case when length({x}) < 120 then nullif(regexp_extract({x}, '(?i)^([A-D])\\s*[.):\\-–]\\s*(?:$|\\S)', 1), '') end, nullif(regexp_extract({x}, '(?i)^\\(?([A-D])\\)?\\s*$', 1), ''))) end"""
+_LOOSE = f"""said as (select *, [{_line_letter('x')} for x in l] as s from lined),
+  loose as (select *, coalesce(list_filter(s[greatest(len(s) - 11, 1):], lambda x: x is not null)[-1], list_filter(s, lambda x: x is not null)[1]) as loose_letter from said)"""
+_STRICT = r"""labelled as (select *, list_filter(l[1:12], lambda x: regexp_matches(x, '(?is)^(?:OPTION|ANSWER):')) as lab from loose)"""
+
+
+@query(rf"""with {_LINES}, {_LOOSE}, {_STRICT},
+  blocked as (select *, list_position([regexp_matches(x, '(?i)^REASON:') for x in l], true) as pos from labelled),
+  rested as (select *, case when pos > 0 then l[pos:] else [] end as rest from blocked),
+  kept as (select *, case when list_position([regexp_matches(x, '(?is)^(?:OPTION|ANSWER):') for x in rest], true) > 0
+    then rest[1:list_position([regexp_matches(x, '(?is)^(?:OPTION|ANSWER):') for x in rest], true) - 1] else rest end as k from rested)
+  select pred_id, coalesce(list_filter([regexp_extract(upper(x), '^(?:OPTION|ANSWER):\s*([A-D])\b', 1) for x in lab], lambda x: x <> '')[-1], loose_letter) as letter,
+    coalesce(nullif({_strip("array_to_string([" + _strip("regexp_replace(x, '(?i)^REASON:', '')") + " for x in k], ' ')")}, ''),
+      list_filter([{_strip("regexp_extract(x, '(?is)^[^:]*:.*?" + chr(92) + "b(?:BECAUSE|SINCE|AS)" + chr(92) + "b(.*)$', 1)")} for x in lab], lambda x: length(x) > 15)[-1], whole) as reason from kept""")
 def reply_parse_strict(s, d):
-    return _option(s, d).select("pred_id", parsing.parsed_strict(_reply()).alias("p")).select("pred_id", "p.letter", "p.reason")
+    return _replied(s, d).select("pred_id", replies.strict(F.col("reply")).alias("p")).select("pred_id", "p.letter", "p.reason")
 
 
-@query()
+@query(rf"""with {_LINES}, {_LOOSE}, {_STRICT}
+  select pred_id, list_filter([regexp_extract(upper(x), '\b([A-D])\b', 1) for x in lab], lambda x: x <> '')[-1] as letter,
+    coalesce(nullif({_strip("regexp_replace(list_filter(l[1:12], lambda x: regexp_matches(x, '(?i)^REASON:'))[-1], '(?i)^REASON:', '')")}, ''), nullif(whole, ''), 'PARSE_FAILED: empty response') as reason from labelled""")
 def reply_parse_simple(s, d):
-    return _option(s, d).select("pred_id", parsing.parsed_simple(_reply()).alias("p")).select("pred_id", "p.letter", "p.reason")
+    return _replied(s, d).select("pred_id", replies.simple(F.col("reply")).alias("p")).select("pred_id", "p.letter", "p.reason")
 
 
-@query()
+@query(f"with {_LINES}, {_LOOSE} select pred_id, loose_letter as letter from loose")
 def reply_parse_loose(s, d):
-    return _option(s, d).select("pred_id", parsing.parsed_loose(_reply()).alias("letter"))
+    return _replied(s, d).select("pred_id", replies.loose_letter(F.col("reply")).alias("letter"))
 
 
-@query()
+@query(f"""with {_LINES} select pred_id, coalesce({', '.join(f"nullif(regexp_extract(upper(reply), '{p}', 1), '')" for p in replies.FORCING)},
+  nullif(regexp_extract(upper(reply), '(?s)^(?:.*[^\\p{{L}}\\p{{N}}_])?([A-D])(?:$|[^\\p{{L}}\\p{{N}}_])', 1), ''), 'ABCD'[('0x' || right(sha256(corpus), 1))::int % 4 + 1]) as letter from lined""")
 def reply_parse_forced(s, d):
-    return _option(s, d).select("pred_id", parsing.forced(F.col("reason"), F.col("corpus")).alias("letter"))
+    return _replied(s, d).select("pred_id", replies.forced(F.col("reply"), F.col("corpus")).alias("letter"))
 
 
-def _reply():
-    return F.concat(F.lit("OPTION: "), F.coalesce("option", F.lit("")), F.lit("\nREASON: "), F.coalesce("reason", F.lit("")))
+@query(r"""select pred_id, length(upper(reason)) - length(replace(upper(reason), 'OPTION:', '')) > 7 or regexp_matches(upper(reason), 'FORMAT FIX|YOU MUST|LINE 1:|LINE 2:|OUTPUT EXACTLY|CRITICAL:|\[FORCED_OPTION\]|OPTION: X') as is_echo,
+  regexp_matches(reason, '^\s*[A-D]\.\s+.{12,}') as is_echoed_choice from predictions_option where reason is not null""")
+def reply_echoes(s, d):
+    rows = _option(s, d).where("reason is not null")
+    return rows.select("pred_id", replies.is_echo(F.col("reason")).alias("is_echo"), replies.is_echoed_choice(F.col("reason")).alias("is_echoed_choice"))
 
 
 @query("select pred_id, 'ABCD'[('0x' || right(sha256(reason), 1))::int % 4 + 1] as letter from predictions_option where reason is not null")
@@ -378,7 +413,26 @@ def forced_pick_by_hash(s, d):
 
 @query()
 def clean_reasons(s, d):
-    return _option(s, d).select("pred_id", parsing.cleaned_reason(F.col("reason")).alias("reason"))
+    """Each reply's own reason, cleaned with the reply as its only source, as it is exported."""
+    said = _replied(s, d)
+    return said.select("pred_id", replies.exported_reason(replies.clean_reason(replies.strict(F.col("reply"))["reason"], F.array("reply"), F.lit(False))).alias("reason"))
+
+
+@query()
+def narrative_reasons(s, d):
+    """The longest prose of all replies to a question in a run."""
+    raws = _option(s, d).where("reason is not null").groupBy("run", "corpus", "question_number").agg(F.array_sort(F.collect_list("reason")).alias("raws"))
+    return raws.select("run", "corpus", "question_number", replies.narrative(F.col("raws")).alias("reason"))
+
+
+@query()
+def first_phase_reasons(s, d):
+    return _replied(s, d).select("pred_id", replies.first_phase(F.col("reply")).alias("reason"))
+
+
+@query(r"""select pred_id, nullif(upper(regexp_extract(list_filter(regexp_split_to_array(reason, '\r?\n'), lambda x: regexp_matches(x, '\S'))[-1], '(?i)(?:^|[^A-Za-z0-9_])([ABCD])(?:[^A-Za-z0-9_]|$)', 1)), '') as letter from predictions_option""")
+def final_line_letters(s, d):
+    return _option(s, d).select("pred_id", text.final_line_letter(F.col("reason")).alias("letter"))
 
 
 @query(r"""select event_id, try_cast(regexp_extract(props, '"k"\s*:\s*"?(-?\d+)', 1) as int) as k from events""")
@@ -533,18 +587,23 @@ def option_argmax(s, d):
     return e.select("explained_id", similarity.best_option(F.col("explanation"), options).alias("b")).select("explained_id", "b.letter", F.round("b.score", 6).alias("score"))
 
 
-@query(r"""select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\b(?:uh|um|er|hm)\b[,.]?\s*', '', 'g'), '\s+([,.;:?!])', '\1', 'g'), '\s+', ' ', 'g')) as prose
-  from documents where doc_kind = 'transcript' and regexp_full_match(text, '[\x20-\x7e\n]*')""")
+_FILLERS = r"regexp_replace({}, '(?i)(^|[^\p{L}\p{N}_])(?:(?:uh|um|er|hm)\s+)*(?:uh|um|er|hm)(?:\s+|$|([^\p{L}\p{N}_\s]))', '\1\2', 'g')"
+_squeeze = lambda x: rf"trim(regexp_replace({x}, '{_BLANKS}+', ' ', 'g'))"
+_PROSE = _squeeze(_FILLERS.replace("{}", _FILLERS.replace("{}", _squeeze("text"), 1), 1))
+_PROSE = rf"regexp_replace(regexp_replace({_PROSE}, '\s+([.,;!?])', '\1', 'g'), ',\s*', ', ', 'g')"
+_PROSE = f"replace(replace(replace(replace({_PROSE}, 'flashc cards', 'flash cards'), 'multiplechoice', 'multiple-choice'), 'coins insurance', 'coinsurance'), 'topics insurance regulation', 'topics, including insurance regulation')"
+
+
+@query(f"select doc_id, {_PROSE} as prose from documents where doc_kind = 'transcript' and text is not null")
 def prose_clean(s, d):
-    spoken = table(s, d, "documents").where((F.col("doc_kind") == "transcript") & F.col("text").rlike(r"\A[\x20-\x7e\n]*\z"))
+    spoken = table(s, d, "documents").where((F.col("doc_kind") == "transcript") & F.col("text").isNotNull())
     return spoken.select("doc_id", text.filler_free(F.col("text")).alias("prose"))
 
 
 @query()
-def prose_clean_all(s, d):
-    """Every transcript; prose_clean holds those that SQL reads alike."""
-    spoken = table(s, d, "documents").where((F.col("doc_kind") == "transcript") & F.col("text").isNotNull())
-    return spoken.select("doc_id", text.filler_free(F.col("text")).alias("prose"))
+def prose_paragraphs(s, d):
+    spoken = table(s, d, "documents").where("doc_kind = 'transcript' and text is not null")
+    return spoken.select("doc_id", parsing.prose_paragraphs(text.filler_free(F.col("text"))).alias("text"))
 
 
 @query()
@@ -592,15 +651,10 @@ def quality_gate(s, d):
 # --- joins and sets -----------------------------------------------------------------------------------------
 
 
-@query(f"""with {_GOLD}, o as (select corpus, question_number, max(upper(trim(answer))) as gold from explained_items e join questions_block using (question_number) where upper(trim(e.answer)) in ('A','B','C','D') and e.question_number % 3 = 0 group by all)
+@query(f"""with {_GOLD}, o as (select corpus, question_number, max(upper(trim(answer))) as gold from explained_items e join (select distinct corpus, question_number from questions_block) q using (question_number)
+    where upper(trim(e.answer)) in ('A','B','C','D') group by all)
   select g.corpus, g.question_number, coalesce(o.gold, g.gold) as gold from gold g left join o using (corpus, question_number)""")
 def override_merge(s, d):
-    return _overridden_gold(s, d, table(s, d, "explained_items").where("question_number % 3 = 0"))
-
-
-@query()
-def override_merge_all(s, d):
-    """Every explained item overrides; override_merge holds each third."""
     return _overridden_gold(s, d, table(s, d, "explained_items"))
 
 

@@ -9,6 +9,8 @@ before them. ``lenient``: ``N.`` or ``N)``, letters in either case, blank lines
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,27 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def discovered(spark: SparkSession, root: str, globs: list[str], only: list[str] | None = None) -> DataFrame:
+    """path, run: the distinct files under a root whose names match any of the globs, in order of their paths.
+
+    ``only`` names the runs to keep; a name without a file is an error.
+    """
+    found = [spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", g).load(root).select("path") for g in globs]
+    files = reduce(DataFrame.union, found).distinct().withColumn("run", F.regexp_extract("path", r"([^/]+?)(?:\.[A-Za-z0-9]+)?$", 1))
+    return allowed(files, "run", only).orderBy("path")
+
+
+def allowed(frame: DataFrame, column: str, only: list[str] | None) -> DataFrame:
+    """The rows whose ``column`` is on the list; a name on the list that no row has is an error. No list keeps all rows."""
+    if only is None:
+        return frame
+    kept = frame.where(F.col(column).isin(only))
+    known = {r[0] for r in kept.select(column).distinct().collect()}  # at most the list's length
+    if missing := sorted(set(only) - known):
+        raise ValueError(f"unknown: {', '.join(missing)}")
+    return kept
+
+
 def read_lines(texts: DataFrame) -> DataFrame:
     """path, line_no, line: the order of lines is data, so it is kept as a number."""
     return texts.select("path", F.posexplode(F.split("text", r"\r\n|[\n\r]")).alias("line_no", "line"))

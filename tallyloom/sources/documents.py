@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.functions.rules import spoken_answer, spoken_number
-from tallyloom.functions.text import is_green, squeeze, strip
+from tallyloom.functions.similarity import ratio
+from tallyloom.functions.text import is_green, luminance, squeeze, strip
 
 QUESTION_LIKE = r"(?i)^(?:which|what|who|when|where|why|how|under|if|an?|all|each)\b.*[?:]$|^.{36,}\?|^\d.*\?"
 
@@ -144,15 +147,72 @@ def page_sample(pages: DataFrame, head: int = 55, middle: int = 45, tail: int =
     return chosen.withColumn("used", used).where(F.col("used") <= budget).select("path", "page", "text")
 
 
-def highlighted(geometry: DataFrame) -> DataFrame:
-    """page, answer, tier from (page, kind, fill, x0, y0, x1, y1, text): a green stroke around a tile, else the darkest tile's text."""
-    strokes = geometry.where((F.col("kind") == "stroke") & is_green(F.col("fill")[0], F.col("fill")[1], F.col("fill")[2]))
-    spans = geometry.where("kind = 'text'").select("page", F.col("text").alias("answer"), F.col("x0").alias("a0"), F.col("y0").alias("b0"), F.col("x1").alias("a1"), F.col("y1").alias("b1"))
-    overlap = (F.col("a0") <= F.col("x1") + 3) & (F.col("a1") >= F.col("x0") - 3) & (F.col("b0") <= F.col("y1") + 3) & (F.col("b1") >= F.col("y0") - 3)
-    tiles = geometry.where("kind = 'tile' and x1 - x0 >= 150 and y1 - y0 between 30 and 130 and y0 between 200 and 580")
-    light = F.col("fill")[0] * 0.299 + F.col("fill")[1] * 0.587 + F.col("fill")[2] * 0.114
-    darkest = tiles.withColumn("light", light).withColumn("r", F.row_number().over(Window.partitionBy("page").orderBy("light", "y0"))).where("r = 1")
-    tier = lambda frame, name: frame.join(spans, "page").where(overlap).groupBy("page").agg(F.array_join(F.array_sort(F.collect_list("answer")), " ").alias(name))
-    pages = geometry.select("page").distinct()
-    out = pages.join(tier(strokes, "green"), "page", "left").join(tier(darkest, "dark"), "page", "left")
-    return out.select("page", F.coalesce("green", "dark").alias("answer"), F.when(F.col("green").isNotNull(), "green").when(F.col("dark").isNotNull(), "tile").alias("tier"))
+def _cells(spans: DataFrame, boxes: DataFrame, grow: float = 3.0) -> DataFrame:
+    """boxes with ``text``: the texts of the spans that meet the box, grown by ``grow`` on each side, in reading order."""
+    meets = (F.col("a0") < F.col("x1") + grow) & (F.col("a1") > F.col("x0") - grow) & (F.col("b0") < F.col("y1") + grow) & (F.col("b1") > F.col("y0") - grow)
+    parts = boxes.join(spans, "page").where(meets).groupBy("page", "box").agg(F.array_sort(F.collect_list(F.struct("b0", "a0", "said"))).alias("parts"))
+    return boxes.join(parts, ["page", "box"]).withColumn("text", squeeze(F.lower(F.array_join(F.transform("parts", lambda x: x["said"]), " ")))).drop("parts")
+
+
+@F.pandas_udf(T.StructType([T.StructField("letter", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("stem_score", T.DoubleType())]))
+def _option_of(text: pd.Series, stem: pd.Series, choices: pd.Series) -> pd.DataFrame:
+    """The option most like a cell's text, and how like the stem the text is."""
+
+    def like(said: str, option: str) -> float:
+        score = ratio(said, option)
+        if len(option) > 10 and (said.startswith(option) or option.startswith(said)):
+            return max(score, 0.92)
+        if len(said) > 10 and said in option or len(option) > 10 and option in said:
+            return max(score, 0.88)
+        return score
+
+    rows = []
+    for said, question, options in zip(text, stem, choices, strict=True):
+        shown = {k: " ".join(v.lower().split()) for k, v in sorted(dict(options or {}).items()) if v and v.strip()}
+        scores = [(1.0 if said == o else like(said, o), k) for k, o in shown.items()] if said else []
+        score, letter = max(scores, key=lambda x: x[0]) if scores else (0.0, None)
+        rows.append((letter, score, ratio(said or "", " ".join((question or "").lower().split()))))
+    return pd.DataFrame(rows, columns=["letter", "score", "stem_score"])
+
+
+def highlighted(geometry: DataFrame, items: DataFrame) -> DataFrame:
+    """page, letter, score, tier of pages' geometry (page, kind, fill, x0, y0, x1, y1, text) and items (page, stem, choices).
+
+    Tiers, the first that gives an option counts: ``green`` (the text inside a green stroke, likeness 0.45 or more),
+    ``band`` (black text in the first answer band of a definition card, 0.72), ``tile`` (tiles from the darkest on,
+    0.48, those that rather show the stem left out), ``tile_weak`` (0.35), ``band_any``. Of tiles wider than 350 and
+    others, two or more of the wide ones, else of the narrow ones, else all count. Pages without any tier have no row.
+    """
+    texts = geometry.where("kind = 'text'")
+    spans = texts.select("page", F.col("text").alias("said"), F.col("x0").alias("a0"), F.col("y0").alias("b0"), F.col("x1").alias("a1"), F.col("y1").alias("b1"))
+    box = F.struct("y0", "x0", "y1", "x1").alias("box")
+    strokes = geometry.where((F.col("kind") == "stroke") & is_green(F.col("fill")[0], F.col("fill")[1], F.col("fill")[2])).select("page", box, "x0", "y0", "x1", "y1", F.lit(0.0).alias("light"))
+    green = strokes.groupBy("page").agg(F.min_by(F.struct(*strokes.columns[1:]), "box").alias("s")).select("page", "s.*")
+    tiles = geometry.where("kind = 'tile' and x1 - x0 >= 150 and y1 - y0 between 30 and 130 and y0 between 200 and 580 and fill <> array(1D, 1D, 1D)")
+    tiles = tiles.select("page", box, "x0", "y0", "x1", "y1", luminance(F.col("fill")[0], F.col("fill")[1], F.col("fill")[2]).alias("light"))
+    page = Window.partitionBy("page")
+    wide, narrow = F.count_if(F.col("x1") - F.col("x0") > 350).over(page), F.count_if(F.col("x1") - F.col("x0") <= 350).over(page)
+    is_wide = F.col("x1") - F.col("x0") > 350
+    pool = tiles.withColumn("wide", wide).withColumn("narrow", narrow).where(F.when(F.col("wide") >= 2, is_wide).when(F.col("narrow") >= 2, ~is_wide).otherwise(True)).drop("wide", "narrow")
+    black = texts.where("y0 between 85 and 210 and length(trim(text)) >= 2 and trim(text) <> 'Definition' and (fill is null or fill = array(0D, 0D, 0D))")
+    cards = texts.where("text like '%Definition%'").select("page").distinct()
+    bands = black.join(cards, "page").groupBy("page").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "text"))).alias("parts"))
+    bands = bands.select("page", squeeze(F.lower(F.array_join(F.transform("parts", lambda x: F.trim(x["text"])), " "))).alias("text"))
+    seen = [
+        _cells(spans, green).select("page", F.lit("green").alias("of"), "light", "box", "text"), _cells(spans, pool).select("page", F.lit("tile").alias("of"), "light", "box", "text"),
+        bands.select("page", F.lit("band").alias("of"), F.lit(0.0).alias("light"), F.lit(None).cast(tiles.schema["box"].dataType).alias("box"), "text"),
+    ]
+    read = reduce(DataFrame.unionByName, seen).join(items.select("page", "stem", "choices"), "page").withColumn("o", _option_of(F.col("text"), F.col("stem"), F.col("choices"))).where("o.letter is not null")
+    stem_like = "o.stem_score > 0.72 and o.score < 0.55"
+    tier = F.expr(
+        f"case when of = 'green' and o.score >= 0.45 then 1 when of = 'band' and length(text) >= 8 and o.score >= 0.72 then 2 when of = 'tile' and not ({stem_like}) and o.score >= 0.48 then 3"
+        " when of = 'tile' and o.score >= 0.35 then 4 when of = 'band' then 5 end"
+    )
+    ranked = read.withColumn("tier", tier).where("tier is not null").groupBy("page").agg(F.min_by(F.struct("tier", "o"), F.struct("tier", "light", "box")).alias("b"))
+    names = F.array(*[F.lit(x) for x in ("green", "band", "tile", "tile_weak", "band_any")])
+    return ranked.select("page", F.col("b.o.letter").alias("letter"), F.col("b.o.score").alias("score"), names[F.col("b.tier") - 1].alias("tier"))
+
+
+def is_pdf(content: Column, content_type: Column) -> Column:
+    """Whether a fetched page is a PDF, by its first bytes or its content type."""
+    return F.coalesce(F.decode(F.substring(content, 1, 5), "ISO-8859-1") == "%PDF-", F.lit(False)) | F.coalesce(F.lower(content_type).contains("pdf"), F.lit(False))

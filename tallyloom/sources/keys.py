@@ -19,7 +19,7 @@ KEY_DIALECTS = {
     "any": r"^(\d+)\s+(\S+)",
     "exact": r"^(\d+)\s+(\S+)$",
     "blank": r"(?i)^(\d+)[ \t]+([ABCD])\s*$",
-    "marked": r"(?i)^(\d+)[.)]?\s+([ABCD])\s*(?:#.*)?$",
+    "marked": r"(?i)^(\d+)(?:[.)]\s*|\s+)([ABCD])\s*(?:#.*)?$",
 }
 
 
@@ -58,10 +58,13 @@ def picked(option: Column, answer: Column, prefer: str = "option") -> Column:
 
 def predictions(spark: SparkSession, path: str, prefer: str = "option", keep_blank: bool = False) -> DataFrame:
     """run, question_number, letter, reason of all CSV files under a path; either column may be missing in a file."""
-    files = (
-        spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.csv")
-        .select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", r"\r\n?", "\n").alias("text"))
-    )
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.csv").select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    return predictions_of(files, prefer, keep_blank)
+
+
+def predictions_of(files: DataFrame, prefer: str = "option", keep_blank: bool = False) -> DataFrame:
+    """As ``predictions``, of whole CSV files (file, text)."""
+    files = files.select("file", F.regexp_replace("text", r"\r\n?", "\n").alias("text"))
     # A record ends at a line end outside quotes; possessive repetitions keep the matcher linear.
     records = F.regexp_extract_all(F.concat("text", F.lit("\n")), F.lit(r'((?:"[^"]*+"|[^"\n]++)*+)\n'), F.lit(1))
     header = F.transform(fields(F.get(records, F.lit(0))), column_name)
@@ -91,6 +94,16 @@ def layout(spark: SparkSession, total: int, per_bucket: int) -> DataFrame:
     return spark.range(1, total + 1).select(n.alias("question_number"), F.greatest(F.lit(1), F.least(F.lit(8), F.floor((n - 1) / per_bucket).cast("int") + 1)).alias("bucket"))
 
 
+def public_items_of(lines: DataFrame) -> DataFrame:
+    """Items from JSON lines (value); blank lines and lines without an id are skipped."""
+    return lines.where(F.trim("value") != "").select(F.from_json("value", PUBLIC_ITEM).alias("x")).select("x.*").where("id is not null")
+
+
+def labels_of(documents: DataFrame) -> DataFrame:
+    """id, correct_index from JSON objects (value) that hold a map of labels."""
+    return documents.select(F.explode(F.from_json("value", LABELS)["labels"]).alias("id", "label")).select("id", "label.correct_index")
+
+
 def public_items(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PUBLIC_ITEM).json(path).where("id is not null")
 

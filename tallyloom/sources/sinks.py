@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import squeeze
+from tallyloom.schema import bucket_dimension
 from tallyloom.sources.blocks import rendered
 
 MOST_ROWS = 10_000
@@ -104,6 +105,49 @@ def leaderboard_page(accuracy: DataFrame) -> str:
     return "# Results\n\n" + "\n".join(tables)
 
 
+def verbose_page(accuracy: DataFrame) -> str:
+    """The other layout of a leaderboard: a section a run with its counts, runs without a common question at 0.00 %."""
+    shown = _few(accuracy.sort("corpus", F.desc("pct"), "run"))
+    lines = ["# Results by run", ""]
+    for r in shown:
+        lines += [f"## {r.corpus} / {r.run}", "", "| Metric | Value |", "|---|---|"]
+        lines += [f"| {name} | {value} |" for name, value in (("Compared", r.compared), ("Correct", r.correct), ("Wrong", r.wrong), ("Accuracy", f"{r.pct or 0:.2f}%"))] + [""]
+    return "\n".join(lines)
+
+
+def key_template(items: DataFrame, gold: DataFrame) -> DataFrame:
+    """question_num, answer (blank), stem_preview of the items without a letter in the key, for someone to fill in."""
+    open_ = items.join(gold.where("gold is not null").select("question_number"), "question_number", "left_anti")
+    return open_.select(F.col("question_number").alias("question_num"), F.lit("").alias("answer"), F.left(squeeze(F.coalesce("stem", F.lit(""))), F.lit(120)).alias("stem_preview"))
+
+
+def manifest(items: DataFrame) -> DataFrame:
+    """source, n_items, first and last number: what each source gave."""
+    return items.groupBy("source").agg(F.count("*").alias("n_items"), F.min("question_number").alias("first_number"), F.max("question_number").alias("last_number"))
+
+
+def two_phase_rows(items: DataFrame, predicted: DataFrame) -> DataFrame:
+    """question_number, reason_before_options, option, reason_after_options for every item, blanks where nothing was answered."""
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return items.select("question_number").join(predicted, "question_number", "left").select("question_number", *[blank(c) for c in ("reason_before_options", "option", "reason_after_options")])
+
+
+def bucket_rows(assigned: DataFrame, model: str) -> DataFrame:
+    """question_number, bucket, bucket_name, model, notes of assigned buckets, the name from the dimension."""
+    named = assigned.join(F.broadcast(bucket_dimension(assigned.sparkSession)), "bucket")
+    return named.select("question_number", "bucket", "bucket_name", F.lit(model).alias("model"), F.coalesce("notes", F.lit("")).alias("notes"))
+
+
+def stacked_frame(summary: DataFrame) -> DataFrame:
+    """run and its four score shares, chart-ready: most of the best two scores first."""
+    return summary.select("run", *[f"pct_score_{i}" for i in range(4)]).sort(F.desc(F.col("pct_score_3") + F.col("pct_score_2")), "run")
+
+
+def scatter_frame(summary: DataFrame) -> DataFrame:
+    """run, accuracy and average score, chart-ready: best average first."""
+    return summary.select("run", "accuracy", "avg_alignment_score").sort(F.desc("avg_alignment_score"), "run")
+
+
 def review_page(counts: dict[str, int], exact: DataFrame, semantic: DataFrame, mapping: DataFrame) -> str:
     """Parsed, removed and kept counts, the drop lists, and old to new numbers."""
     numbers = lambda f: ", ".join(str(r[0]) for r in _few(f.sort(f.columns[0])))

@@ -1,4 +1,6 @@
-from tallyloom.functions import parsing, similarity
+from pyspark.sql import functions as F
+
+from tallyloom.functions import parsing, replies, similarity
 from tallyloom.operators import modelcall
 from tallyloom.sources import blocks, documents, keys, sinks
 
@@ -71,24 +73,51 @@ def test_html(spark):
     assert (r.question_number, r.stem, r.choices["D"], r.gold) == (4, "Stem x", "4", "B")
 
 
-def test_reply_parsers():
-    assert parsing.strict_reply("OPTION: B\nREASON: because x\nmore") == ("B", "because x more")
-    assert parsing.strict_reply("ANSWER: A\nOPTION: c) no")[0] == "C"
-    assert parsing.simple_reply("OPTION: A, B, C or D") == ("A", "")
-    assert parsing.loose_letter("I think the correct answer is (D).") == "D" and parsing.loose_letter("prose only") is None
-    assert parsing.forced_letter("nothing", "stem") in "ABCD" and parsing.strict_reply(None) == (None, "")
-    assert parsing.wrapped("aa bb cc", 5) == ["aa bb", "cc"] and parsing.wrapped(None) == []
+def test_item_parsers():
+    assert parsing.wrapped("aa bb cc", 5) == ["aa bb", "cc"] and parsing.wrapped(None) == [] and parsing.wrapped("x" * 7, 5) == ["xxxxx", "xx"]
+    assert parsing.paragraphs(["one", "two.", "(three)"]) == "one \n\ntwo.\n\n(three)"
     assert parsing.folded_options(["One", "two more", "Three", "Four", "Five", "Six"]) == ["One two more", "Three", "Four", "Five Six"]
+    assert parsing.folded_options(["a", "b"]) == [] and parsing.folded_options(None) == [] and parsing.folded_options(["A", "B", "C", "D", "E"]) == ["A", "B", "C", "D E"]
+    assert parsing.folded_options(["Total loss of cargo P e r i l s", "Two", "Three"]) == ["Total loss of cargo", "P e r i l s", "Two", "Three"]
     assert parsing.peeled_options("stem A one B two C three D four") == {"A": "one", "B": "two", "C": "three", "D": "four"}
-
-
-def test_forced_in_the_jvm_agrees(spark):
-    from pyspark.sql import functions as F
+    assert parsing.peeled_options("stem a one c two d three") == {"A": "one", "B": "", "C": "two", "D": "three"} and parsing.peeled_options("a b") == parsing.peeled_options(None) == {}
+    card = parsing.numbered_item(["Which one", "is it?", "1. a long enough option", "that wraps", "2. two", "3. three", "4. four", "A long enough option that wraps"])
+    assert card == {"stem": "Which one is it?", "options": ["a long enough option that wraps", "two", "three", "four"], "answer": "A"}
+    assert parsing.numbered_item(["Q", "1. a", "2. b", "3. c", "4. d", "2. b"])["answer"] == "B" and parsing.numbered_item(None)["answer"] is None
+
+
+def test_reply_parsers(spark):
+    cases = [
+        ("OPTION: B\nREASON: because x\nmore", ("B", "because x more"), ("B", "because x"), "B"), ("ANSWER: A\nOPTION: c) no", ("C", "ANSWER: A\nOPTION: c) no"), ("C", "ANSWER: A\nOPTION: c) no"), None),
+        ("OPTION: A, B, C or D", ("A", "OPTION: A, B, C or D"), ("A", "OPTION: A, B, C or D"), "A"), ("Option A covers fire.", (None, "Option A covers fire."), (None, "Option A covers fire."), None),
+        ("B. because of fire damage", ("B", "B. because of fire damage"), (None, "B. because of fire damage"), "B"), ("B. " + "because of fire damage and smoke " * 3, (None, None), (None, None), None),
+        ("Well.\nThe correct answer is D", ("D", "Well.\nThe correct answer is D"), (None, "Well.\nThe correct answer is D"), "D"), ("(c)", ("C", "(c)"), (None, "(c)"), "C"),
+        ("OPTION: B because the binder still stood", ("B", "the binder still stood"), ("B", "OPTION: B because the binder still stood"), None), (None, (None, ""), (None, "PARSE_FAILED: empty response"), None), ("\0 ", (None, ""), (None, "PARSE_FAILED: empty response"), None),
+    ]
+    frame = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, reply string")
+    got = {r.i: r for r in frame.select("i", replies.strict(F.col("reply")).alias("s"), replies.simple(F.col("reply")).alias("m"), replies.loose_letter(F.col("reply")).alias("l")).collect()}
+    for i, (_, strict, simple, loose) in enumerate(cases):
+        assert got[i].s.letter == strict[0] and (strict[1] is None or got[i].s.reason == strict[1]), i
+        assert got[i].m.letter == simple[0] and (simple[1] is None or got[i].m.reason == simple[1]), i
+        assert loose is None or got[i].l == loose, i
+
+
+def test_forced_letters_and_reasons(spark):
+    import hashlib
 
     data = [("The answer is B", "s"), ("maybe A or C", "s"), ("none", "some stem"), (None, "x"), (None, None)]
     frame = spark.createDataFrame(data, "reply string, stem string")
-    got = [r.x for r in frame.select(parsing.forced(F.col("reply"), F.col("stem")).alias("x")).collect()]
-    assert got == [parsing.forced_letter(*d) for d in data]
+    hashed = lambda s: "ABCD"[int(hashlib.sha256(s.encode()).hexdigest(), 16) % 4]
+    assert [r.x for r in frame.select(replies.forced(F.col("reply"), F.col("stem")).alias("x")).collect()] == ["B", "C", hashed("some stem"), hashed("x"), hashed("")]
+    texts = ["FORMAT FIX. You reply", "You must choose", "OPTION: A OPTION: B", "The binder stood for a whole month. And more.", None]
+    said = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.x for r in said.select(replies.is_echo(F.col("t")).alias("x")).collect()] == [True, True, True, False, False]
+    raws = F.array(F.lit("A. one\nThe binder stood for a whole month. And more."), F.lit("REASON: you must\n\nREASON: later"))
+    one = spark.range(1).select(replies.clean_reason(F.lit("YOU MUST"), raws, F.lit(False)).alias("a"), replies.clean_reason(F.lit("own"), raws, F.lit(False)).alias("b"), replies.clean_reason(F.lit(None).cast("string"), F.array(F.lit("x")), F.lit(True)).alias("c")).first()
+    assert tuple(one) == ("one The binder stood for a whole month.", "own", replies.NO_REASON_FORCED)
+    long = "The roof was wet. " * 12
+    out = spark.range(1).select(replies.exported_reason(F.lit("Question 4: the tenant signed the form first. Format fix. x")).alias("a"), replies.exported_reason(F.lit(long + "REASON: the policy lapsed in May")).alias("b")).first()
+    assert tuple(out) == ("the tenant signed the form first.", (long + "REASON: the policy lapsed in May").strip()) and "policy" in out.b
 
 
 def test_best_terms_equal_brute_force(spark):
@@ -121,8 +150,6 @@ def test_model_stages(spark):
 
 
 def test_until_quota(spark):
-    from pyspark.sql import functions as F
-
     accepted = spark.createDataFrame([(0, "first")], "n int, stem string")
     ask = lambda turn, _: spark.range(3).select((F.col("id") + 10 * (turn + 1)).cast("int").alias("n"), F.concat(F.lit(f"stem {turn} "), "id").alias("stem"))
     assert modelcall.until_quota(ask, accepted, 6, "stem", "n").count() == 6
