@@ -78,7 +78,7 @@ GATES = {"generated": (25, 8, True), "cards": (10, 2, True), "repaired": (1, 3,
 def passes(gate: str, stem: Column, choices: Column, letter: Column | None = None) -> Column:
     """Whether an item passes one of GATES; where a letter is given it must be one of A to D and name an option."""
     least_stem, least_option, distinct = GATES[gate]
-    values = F.transform(F.filter(F.map_values(choices), lambda v: v.isNotNull()), F.trim)
+    values = F.transform(F.filter(F.map_values(choices), lambda v: v.isNotNull()), lambda v: F.trim(v))
     good = (F.length(F.trim(F.coalesce(stem, F.lit("")))) >= least_stem) & (F.size(values) == 4) & F.forall(values, lambda v: F.length(v) >= least_option)
     if distinct:
         good = good & (F.size(F.array_distinct(values)) == 4)
