@@ -39,8 +39,9 @@ def test_every_run_of_a_place_is_a_partner(spark):
     often, rare = ["полис", "ущерб", "пожар", "сумма", "договор"], ["банк", "страхование", "выплата"]
     words = [w for w in often for _ in range(40)] + [w for w in rare for _ in range(10)]
     rows = [(i, f"{w} {i}") for i, w in enumerate(words)] + [(1000 + i, garble(w, "utf-8", "koi8-r")) for i, w in enumerate(rare)]
-    counts = mojibake.runs(spark.createDataFrame(rows, "doc_id bigint, text string")).withColumn("r", F.lit(" ")).groupBy("l", "run", "r").agg(F.count("*").alias("n"), F.count("*").alias("rows"))
-    assert "utf-8>koi8-r" in mojibake.learned(counts)
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string")
+    counts = mojibake.runs(documents).withColumn("r", F.lit(" ")).groupBy("l", "run", "r").agg(F.count("*").alias("n"), F.count("*").alias("rows"))
+    assert "utf-8>koi8-r" in mojibake.learned(counts, mojibake.twin_runs(documents))[0]
 
 
 def test_chains_undo():
@@ -52,3 +53,15 @@ def test_chains_undo():
 def test_empty(spark):
     documents = spark.createDataFrame([], "doc_id bigint, text string")
     assert mojibake.garbled(documents).count() == mojibake.restored(documents).count() == 0
+
+
+def test_one_clean_twin_each_is_enough(spark):
+    clean = [
+        "Der Käufer zahlt.", "Die Prämie für May.", "Ein Überfall in Bonn.", "Der Schaden an der Tür.", "Das Öl lief aus.", "Zwei Häuser brannten.", "Ein großer Verlust.", "Die Größe zählt.", "Vor dem März.", "Am Fluß gebaut.",
+        "Jährlich gekündigt.", "Ein Brief aus Köln.", "Die Höhe fehlt.", "Nach Prüfung klar.", "Schön war es nie.", "Ein Äußeres zählt.",
+    ]
+    garbled = [t.encode("utf-8").decode("cp1252", "ignore") if all(c not in t for c in "ÜÖß") else t.encode("utf-8").decode("latin-1") for t in clean]
+    rows = [(i, t) for i, t in enumerate(clean)] + [(100 + i, t) for i, t in enumerate(garbled)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in mojibake.garbled(documents).collect()} == {100 + i for i in range(len(clean))}
+    assert {r.doc_id: r.text for r in mojibake.restored(documents).collect()} == {100 + i: t for i, t in enumerate(clean)}
