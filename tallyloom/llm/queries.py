@@ -27,9 +27,9 @@ def _scanned(spark: SparkSession, d: str) -> DataFrame:
     explained, blocks = table(spark, d, "explained_items"), table(spark, d, "format_blocks")
     return scans.fields(
         [
-            ("explained_items", explained, "explained_id", "question"),
-            ("explained_items", explained, "explained_id", "option_a"),
-            ("format_blocks", blocks, "block_id", "stem"),
+            ("explained_items", explained, "explained_id", "question", "pdf_name"),
+            ("explained_items", explained, "explained_id", "option_a", "pdf_name"),
+            ("format_blocks", blocks, "block_id", "stem", "pdf_name"),
         ]
     )
 

@@ -1,14 +1,16 @@
 """Noise in text from scanned pages: report the noise of each field and repair it into running text.
 
-Whole lines that are page numbers or titles are set apart first. Titles are learnt from the corpus: a line
-that many fields hold in two or more printed styles (capitals, title case, between tildes), a chapter line,
-or such a title with a topic behind a bar. What is left is joined. A word split at a line end by a hyphen
+Whole lines that are page numbers or titles are set apart first. Titles are learnt from the corpus: a line in
+a title's style that recurs at the first or last lines of a book's fields, in whatever style, a line that many
+fields hold in two or more printed styles (capitals, title case, between tildes), a chapter line, or such a
+title with a topic behind a bar. What is left is joined. A word split at a line end by a hyphen
 mark is judged with the corpus's lexicon: the joined word against the compound.
 
-Misread characters: a symmetric-delete index over the frequent words (all strings with up to DELETES letters
-taken out) meets the same strings of the rare words; candidates are scored by an edit distance in which
+Misread characters: a symmetric-delete index over the frequent words (all strings with up to DELETES of those
+letters taken out that a scanner confuses, in words of any length) meets the same strings of the rare words; candidates are scored by an edit distance in which
 pairs that scanners confuse are cheap and all other edits are not allowed in sum; the neighbouring word
-picks among several. A word that holds a mark inside its letters, or digits among them, needs no candidate.
+picks among several, and where a field holds one misread word before different neighbours, each place is
+repaired by its own. Repairs replace whole words and keep their case. A word that holds a mark inside its letters, or digits among them, needs no candidate.
 
 Defined results: null and empty fields have no noise and stay as they are; each kind is reported once for
 a field; equal fields get equal results; copies of a field do not speak
@@ -17,6 +19,7 @@ for its words, only where distinct fields leave it open do all decide; a field o
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -29,8 +32,9 @@ from tallyloom.session import cut
 FIELD = ["table_name", "rec_id", "field_name"]
 KEY = [*FIELD, "version"]  # rows that share an id but not their text stay apart
 MIN_TITLE, MIN_STYLES = 3, 2
+#: a title's line stands among a field's first or last EDGE lines, in this share of a book's fields of several lines
+EDGE, MIN_SHARE = 2, 0.02
 DELETES, MIN_FREQUENT, TIMES_RARER, MAX_DISTANCE = 2, 5, 10, 0.95
-LONGEST = 32  # no word of a language is longer; longer strings are judged by their marks alone
 
 # What a scanner reads for what is printed, with the cost of taking the one for the other.
 CONFUSIONS = [
@@ -53,9 +57,15 @@ WORD = rf"(?:{_L}|!(?={_L}))++"
 ODD = r"[@|+¢!]|[\x{FB00}-\x{FB06}]"
 
 
-def fields(spark_tables: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
-    """table_name, rec_id, field_name, text, version of (name, table, id column, text column) entries; repeated rows once."""
-    parts = [t.select(F.lit(n).alias("table_name"), F.col(i).alias("rec_id"), F.lit(f).alias("field_name"), F.col(f).alias("text")) for n, t, i, f in spark_tables]
+def fields(spark_tables: list[tuple[str, ...]]) -> DataFrame:
+    """table_name, rec_id, field_name, text, book, version of (name, table, id column, text column[, book column]) entries; repeated rows once.
+
+    Without a book column all of a table is one book.
+    """
+    parts = [
+        t.select(F.lit(n).alias("table_name"), F.col(i).alias("rec_id"), F.lit(f).alias("field_name"), F.col(f).alias("text"), (F.col(book[0]) if book else F.lit(n)).cast("string").alias("book"))
+        for n, t, i, f, *book in spark_tables
+    ]
     return reduce(DataFrame.unionByName, parts).where("text is not null and text <> ''").withColumn("version", F.xxhash64("text")).distinct()
 
 
@@ -65,22 +75,27 @@ def _norm(c: Column) -> Column:
 
 def lines(texts: DataFrame) -> DataFrame:
     """The fields' lines in order, each with what it is: header, page (a page number, also on a header's line)."""
-    split = texts.select(*KEY, F.posexplode(F.split("text", r"\r?\n")).alias("ln", "line"), F.size(F.split("text", r"\r?\n")).alias("n_lines"))
+    split = texts.select(*KEY, "book", F.split("text", r"\r?\n").alias("ls")).select(*KEY, "book", F.posexplode("ls").alias("ln", "line"), F.size("ls").alias("n_lines"))
     bare = F.trim("line")
     numbered = r"\A\d{1,4}\s{2,}(?=\D)|(?<=\D)\s{2,}\d{1,4}\z"
-    split = split.select(*KEY, "ln", "line", "n_lines", F.regexp_replace(bare, numbered, "").alias("rest"), bare.rlike(numbered).alias("numbered"), bare.rlike(PAGE).alias("only"))
+    split = split.select(*KEY, "book", "ln", "line", "n_lines", F.regexp_replace(bare, numbered, "").alias("rest"), bare.rlike(numbered).alias("numbered"), bare.rlike(PAGE).alias("only"))
     style = (
         F.when(F.col("rest").rlike(TILDES), "tildes").when((F.col("rest") == F.upper("rest")) & F.col("rest").rlike(r"\p{Lu}{2}"), "capitals")
         .when(F.col("rest").rlike(TITLE_CASE), "title")
     )
     split = split.withColumn("style", F.when(F.col("n_lines") > 1, style)).withColumn("norm", F.when(F.col("style").isNotNull(), _norm(F.col("rest"))))
-    titles = (
-        split.where("norm is not null and norm like '% %'").groupBy("norm").agg(F.count("*").alias("n"), F.count_distinct("style").alias("styles"))
-        .where((F.col("n") >= MIN_TITLE) & (F.col("styles") >= MIN_STYLES)).select("norm", F.lit(True).alias("known"))
-    )
-    header = (F.col("n_lines") > 1) & (F.col("rest").rlike(CHAPTER) | F.coalesce(F.col("style") == "tildes", F.lit(False)) | F.col("known").isNotNull())
+    edge = (F.col("ln") < EDGE) | (F.col("ln") >= F.col("n_lines") - EDGE)
+    # Counted by book first: what recurs in a book, and from these counts what recurs in several styles in all books.
+    by_book = split.where("norm like '% %'").groupBy("book", "norm", "style").agg(F.count("*").alias("n"), F.count_if(edge).alias("at_edge"))
+    by_book = cut(by_book)
+    styles = by_book.groupBy("norm").agg(F.sum("n").alias("n"), F.count_distinct("style").alias("styles")).where((F.col("n") >= MIN_TITLE) & (F.col("styles") >= MIN_STYLES)).select("norm", F.lit(True).alias("known"))
+    sizes = split.where("ln = 0 and n_lines > 1").groupBy("book").agg(F.count("*").alias("n_fields"))
+    running = by_book.groupBy("book", "norm").agg(F.sum("at_edge").alias("at_edge"), F.sum("n").alias("n")).join(sizes, "book")
+    running = running.where((F.col("at_edge") >= F.greatest(F.lit(MIN_TITLE), F.col("n_fields") * MIN_SHARE))).select("book", "norm", F.lit(True).alias("runs"))
+    named = F.coalesce(F.col("known").isNotNull() | F.col("runs").isNotNull(), F.lit(False))
+    header = (F.col("n_lines") > 1) & (F.col("rest").rlike(CHAPTER) | F.coalesce(F.col("style") == "tildes", F.lit(False)) | named)
     return (
-        split.join(titles, "norm", "left").withColumn("header", header & ~F.col("only"))
+        split.join(styles, "norm", "left").join(running, ["book", "norm"], "left").withColumn("header", header & ~F.col("only"))
         .select(*KEY, "ln", "line", "header", (F.col("only") | (F.col("header") & F.col("numbered"))).alias("page"))
     )
 
@@ -122,11 +137,17 @@ def breaks(body: DataFrame) -> DataFrame:
     )
 
 
-def _deleted(word: Column) -> Column:
-    """The word and all strings with up to DELETES letters taken out; short words lose one at most."""
-    one = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
-    single = F.array_distinct(one(word))
-    double = F.array_distinct(F.flatten(F.transform(single, one)))
+#: letters that stand in what is read, and in what is printed, of some confusion
+READ, PRINTED = (re.escape("".join(sorted({c for x in CONFUSIONS for c in x[k]}))) for k in (0, 1))
+
+
+def _deleted(word: Column, letters: str) -> Column:
+    """The word and all strings with up to DELETES of the letters taken out; short words lose one at most, for with two they would meet everything."""
+    places = F.filter(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.lit(1)).rlike(f"[{letters}]"))
+    without = lambda w, i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w)))
+    single = F.transform(places, lambda i: without(word, i))
+    # The later letter goes first, so the place of the earlier one stays.
+    double = F.flatten(F.transform(places, lambda i: F.transform(F.filter(places, lambda j: j < i), lambda j: without(without(word, i), j))))
     return F.array_distinct(F.concat(F.array(word), single, F.when(F.length(word) >= 6, double).otherwise(F.array().cast("array<string>"))))
 
 
@@ -154,7 +175,7 @@ def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def misread(body: DataFrame) -> DataFrame:
-    """key, word, repair (null where only the marks give it away): each field's misread words."""
+    """key, before, word, repair (null where only the marks give it away): each field's misread words and the words before them."""
     words = body.select(*KEY, _parts(F.regexp_replace("body", SPLIT, "")).alias("words"))
     pairs = words.select(*KEY, F.explode(F.expr(NEIGHBOURS)).alias("x")).select(*KEY, "x.*")
     # n counts words and neighbours over distinct bodies, rows over all.
@@ -162,12 +183,12 @@ def misread(body: DataFrame) -> DataFrame:
     grams = cut(once.select("rows", F.explode(F.expr(NEIGHBOURS)).alias("x")).groupBy("x.before", "x.word").agg(F.count("*").alias("n"), F.sum("rows").alias("rows")))
     counts = grams.groupBy("word").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
     marked = F.col("word").rlike(ODD) | F.col("word").rlike(r"\A(?=.*\d)(?=(?:.*\p{L}){2}).*\z")
-    frequent = counts.where((F.col("rows") >= MIN_FREQUENT) & ~marked & F.length("word").between(2, LONGEST)).select(F.col("word").alias("candidate"), F.col("rows").alias("nc"), F.col("n").alias("nc_once"))
+    frequent = counts.where((F.col("rows") >= MIN_FREQUENT) & ~marked & (F.length("word") >= 2)).select(F.col("word").alias("candidate"), F.col("rows").alias("nc"), F.col("n").alias("nc_once"))
     # A misread form of a word is TIMES_RARER rarer, so a word as frequent as that of the most frequent is none.
     top = counts.agg(F.max("rows")).first()[0] or 0
     rare = counts.where(marked | ((F.length("word") >= 3) & (F.col("n") * TIMES_RARER <= top) & F.col("word").rlike("c|ri|cl|ii|rn|b|vv|nn|li|tl")))
-    index = frequent.select("candidate", "nc", "nc_once", F.explode(_deleted(F.col("candidate"))).alias("form"))
-    tried = rare.where(F.length("word") <= LONGEST).select("word", "n", "rows", F.explode(_deleted(F.col("word"))).alias("form"))
+    index = frequent.select("candidate", "nc", "nc_once", F.explode(_deleted(F.col("candidate"), PRINTED)).alias("form"))
+    tried = rare.select("word", "n", "rows", F.explode(_deleted(F.col("word"), READ)).alias("form"))
     candidates = (
         tried.join(index, "form").where("word <> candidate").select("word", "n", "rows", "candidate", "nc", "nc_once").distinct()
         .where(f"nc_once > n and nc >= n * {TIMES_RARER} or nc_once = n and nc >= rows * {TIMES_RARER}").select("word", "n", "candidate", "nc").mapInPandas(_score, "word string, n bigint, candidate string, nc bigint, cost double")
@@ -180,8 +201,8 @@ def misread(body: DataFrame) -> DataFrame:
         .join(grams.select("before", F.col("word").alias("candidate"), F.col("n").alias("together")), ["before", "candidate"], "left")
         .groupBy("before", "word").agg(F.max_by("candidate", F.struct(F.coalesce("together", F.lit(0)), -F.col("cost"), "nc", "candidate")).alias("repair"))
     )
-    known = pairs.join(context, ["before", "word"]).select(*KEY, "word", "repair")
-    return known.unionByName(pairs.join(unknown, "word", "left_semi").select(*KEY, "word", F.lit(None).cast("string").alias("repair")))
+    known = pairs.join(context, ["before", "word"]).select(*KEY, "before", "word", "repair")
+    return known.unionByName(pairs.join(unknown, "word", "left_semi").select(*KEY, "before", "word", F.lit(None).cast("string").alias("repair")))
 
 
 def noise(texts: DataFrame) -> DataFrame:
@@ -196,14 +217,27 @@ def noise(texts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found).select(*FIELD, "noise").distinct()
 
 
+def _replaced(t: str, fix: str) -> str:
+    """SQL: the text ``t`` with whole words changed as in ``fix`` (before, word, repair), as they stand, with a capital, and in capitals."""
+    no_letter = f"(?!{_L})"
+    lead = f"case when {fix}.before = '' then r'(?<!{_L})' else concat(r'(?<=(?<!{_L})(?i:\\Q', {fix}.before, r'\\E)(?!{_L}).{{1,9}}(?<!{_L}))') end"
+    for form in ("{}", "concat(upper(left({}, 1)), substring({}, 2))", "upper({})"):
+        word, repair = (form.replace("{}", f"{fix}.{x}") for x in ("word", "repair"))
+        t = f"regexp_replace({t}, concat({lead}, r'\\Q', {word}, r'\\E{no_letter}'), {repair})"
+    return t
+
+
 def repaired(texts: DataFrame) -> DataFrame:
     """table_name, rec_id, field_name, text: the fields as continuous text with the noise mended."""
     body = cut(bodies(lines(texts)))
     splits = breaks(body).select(*KEY, F.struct(F.col("whole").alias("from"), F.concat("left", F.when(F.col("is_noise"), "").otherwise("-"), "right").alias("to")).alias("fix"))
-    fixes = splits.groupBy(*KEY).agg(F.collect_set("fix").alias("splits"))
-    words = misread(body).where("repair is not null").groupBy(*KEY).agg(F.collect_set(F.struct(F.col("word").alias("from"), F.col("repair").alias("to"))).alias("words"))
+    fixes = splits.groupBy(*KEY).agg(F.array_sort(F.collect_set("fix")).alias("splits"))
+    # Only a word with several repairs in a field is told by the word before it.
+    by_word = misread(body).where("repair is not null").groupBy(*KEY, "word").agg(F.collect_set(F.struct("before", "repair")).alias("found"), F.count_distinct("repair").alias("n"), F.min("repair").alias("repair"))
+    fix = "if(n = 1, array(struct('' as before, word as word, repair as repair)), transform(found, f -> struct(f.before as before, word as word, f.repair as repair)))"
+    words = by_word.select(*KEY, F.expr(f"explode({fix})").alias("fix")).groupBy(*KEY).agg(F.array_sort(F.collect_set("fix")).alias("words"))
     apply = (
         "reduce(coalesce(words, array()), regexp_replace(reduce(coalesce(splits, array()), body, (t, f) -> replace(t, f.from, f.to)), r'[ \\t]*\\n\\s*', ' '),"
-        " (t, f) -> replace(replace(t, f.from, f.to), concat(upper(left(f.from, 1)), substring(f.from, 2)), concat(upper(left(f.to, 1)), substring(f.to, 2))))"
+        f" (t, f) -> {_replaced('t', 'f')})"
     )
     return body.join(fixes, KEY, "left").join(words, KEY, "left").select(*FIELD, F.expr(apply).alias("text"))

@@ -48,6 +48,19 @@ def test_copies_of_a_misread_field_count_once(spark):
     assert {repaired[60 + i] for i in range(30)} == {"The tenant received the policy."}
 
 
+def test_a_running_header_needs_no_second_style(spark):
+    pages = [f"The Harbor Manual\nThe tenant received the {w} policy\nbefore renewal." for w in ("certified", "modern", "valued", "lapsed") for _ in range(50)]
+    found, repaired = noise(spark, pages + [f"The tenant of {x} paid\nthe second premium." for x in ("Salcott", "Pelbury") for _ in range(20)])
+    assert {i for i, v in found.items() if v == {"header"}} == set(range(200)) and set(found) == set(range(200))
+    assert repaired[0] == "The tenant received the certified policy before renewal."
+
+
+def test_repairs_keep_other_words_and_case(spark):
+    base = [f"The tenant saw the stone and the binder of number {chr(97 + i // 26)}{chr(97 + i % 26)}z before the renewal." for i in range(60)]
+    found, repaired = noise(spark, [*base, "Near tbestone tbe tenant saw TBE stone. Tbe binder"])
+    assert found[60] == {"glyph"} and repaired[60] == "Near tbestone the tenant saw THE stone. The binder"
+
+
 def test_distance():
     assert scans.distance("narned", "named") < 0.5 and scans.distance("uncler", "under") < 0.5
     assert scans.distance("barn", "bark") >= 1 and scans.distance("same", "same") == 0
