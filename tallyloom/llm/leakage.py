@@ -9,8 +9,10 @@ verified word by word; overlap of the choices is reported beside it.
 
 Defined results: null texts hold nothing; items with fewer than RUN words or a null question are in
 no document; repeated items are each reported; a document is reported once for an item.
-The index is built on the driver from the held-out set, whose size is checked against MAX_ITEMS; a
-larger set is taken in several indexes of that size, one after the other.
+The index is built on the driver from at most MAX_ITEMS held-out items at a time. A larger set is taken in
+several indexes of that size, one after the other: each has one pass over the corpus and its hits are written
+before the next is read, so no more than one index is ever held. What decides a hit is the table of an
+index's runs of RUN words; the scores only say which items to look up.
 """
 
 from __future__ import annotations
@@ -19,11 +21,14 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.session import cut
+
 RUN = 12
 PASSAGE = 60
 BLOCK = 16
@@ -141,23 +146,25 @@ class Index:
 
 def leaks(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
     """doc_id, id: the items of which a document holds ``run`` or more consecutive words of the question."""
-    held = items.select("id", "question").where("id is not null and question is not null").orderBy("id", "question")
-    rows = [(r.id, r.question) for r in held.toLocalIterator()]
+    held = items.select("id", "question").where("id is not null and question is not null").orderBy("id", "question").toLocalIterator()
     source = documents.select("doc_id", "text").where("text is not null")
     kind = items.schema["id"].dataType.simpleString()
-    parts = []
-    for start in range(0, max(1, len(rows)), MAX_ITEMS):
-        index = Index(rows[start : start + MAX_ITEMS], run)  # a large closure is broadcast by Spark itself
 
-        def scan(batches: Iterator[pd.DataFrame], index: Index = index) -> Iterator[pd.DataFrame]:
+    def scanned(index: Index) -> DataFrame:
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 hits = [(d, index.ids[i]) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for i in sorted(index.items_in(t))]
                 yield pd.DataFrame(hits, columns=["doc_id", "id"])
 
-        parts.append(source.mapInPandas(scan, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, id {kind}"))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
+        # A large closure is broadcast by Spark itself.
+        return source.mapInPandas(scan, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, id {kind}")
+
+    whole, rows = None, [(r.id, r.question) for r in islice(held, MAX_ITEMS)]
+    while whole is None or rows:
+        part, rows = scanned(Index(rows, run)), [(r.id, r.question) for r in islice(held, MAX_ITEMS)]
+        if whole is not None or rows:
+            part = cut(part)
+        whole = part if whole is None else whole.unionByName(part)
     return whole.distinct()
 
 

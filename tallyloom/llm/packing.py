@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.session import cut
 
@@ -32,6 +33,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-tokenisation pattern that belongs to these ranks.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SMALL, GROUPS, SALTS = 0.125, 64, 64
+#: packs beside every text, and steps of all plans, that may be broadcast; a plan has a few steps for each size, and no more sizes than its capacity has tokens
+MOST_PACKS, MOST_STEPS = 1_000, 2_000_000
 
 
 def sized(documents: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -190,10 +193,25 @@ def plan(capacity: int, histogram: dict[int, int], small: float = SMALL, groups:
     return bins.plan, bins.used
 
 
-def items(sizes: DataFrame, packs: DataFrame) -> DataFrame:
+def few_packs(packs: DataFrame) -> list[tuple]:
+    """(pack_id, capacity) of the packs with room, at most MOST_PACKS, checked."""
+    rows = packs.select("pack_id", "capacity").where("capacity > 0").distinct().orderBy("capacity", "pack_id").limit(MOST_PACKS + 1).collect()
+    if len(rows) > MOST_PACKS:
+        raise ValueError(f"more than {MOST_PACKS} packs")
+    return [(r.pack_id, r.capacity) for r in rows]
+
+
+def beside(sizes: DataFrame, packs: DataFrame) -> DataFrame:
+    """The sizes beside every pack: an array of the checked packs, exploded, which is no join."""
+    kinds = [packs.schema[c].dataType for c in ("pack_id", "capacity")]
+    made = [F.struct(*[F.lit(v).cast(k).alias(c) for v, k, c in zip(row, kinds, ("pack_id", "capacity"), strict=True)]) for row in few_packs(packs)]
+    empty = F.array().cast(T.ArrayType(T.StructType([T.StructField(c, k) for c, k in zip(("pack_id", "capacity"), kinds, strict=True)])))
+    return sizes.withColumn("pack", F.explode(F.array(*made) if made else empty)).select("*", "pack.*").drop("pack")
+
+
+def items(sizes: DataFrame) -> DataFrame:
     """pack_id, capacity, doc_id, part, tokens: the whole texts and the rests of split ones; full parts stay out."""
-    joined = sizes.join(F.broadcast(packs), F.col("size") > 0)  # a handful of capacities beside every text
-    return joined.select(
+    return sizes.where("size > 0").select(
         "pack_id", "capacity", "doc_id", F.expr("case when size > capacity then size div capacity else 0 end").alias("part"),
         F.expr("case when size > capacity then size % capacity else size end").alias("tokens"),
     ).where("tokens > 0")
@@ -203,8 +221,10 @@ def packed(documents: DataFrame, packs: DataFrame, tokenizer: str = TOKENIZER) -
     """pack_id, capacity, tokenizer, doc_id, part, tokens, container_id: where every part of every text goes."""
     spark = documents.sparkSession
     sizes = cut(sized(documents, tokenizer=tokenizer))
-    few = packs.select("pack_id", "capacity").where("capacity > 0").distinct()
-    todo = items(sizes, few).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    every = beside(sizes, packs)
+    # As many salts as keep a size that a third of all texts share at about a million ranks a task.
+    salts = max(SALTS, sizes.count() // 3_000_000)
+    todo = items(every).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     counts = cut(todo.groupBy("pack_id", "capacity", "tokens", "salt").agg(F.count("*").alias("n")))
     # Bounded by the capacities: a pack has no more sizes than its capacity has tokens.
     rows = counts.groupBy("pack_id", "capacity", "tokens").agg(F.sum("n").alias("n")).collect()
@@ -212,6 +232,8 @@ def packed(documents: DataFrame, packs: DataFrame, tokenizer: str = TOKENIZER) -
     for pack, capacity in sorted({(r.pack_id, r.capacity) for r in rows}):
         steps, _ = plan(capacity, {r.tokens: r.n for r in rows if r.pack_id == pack})
         plans += [(pack, *(int(x) for x in s)) for s in steps]
+    if len(plans) > MOST_STEPS:
+        raise ValueError(f"plans of more than {MOST_STEPS} steps")
     kind = packs.schema["pack_id"].dataType.simpleString()
     steps = spark.createDataFrame(plans, f"pack_id {kind}, tokens bigint, lo bigint, hi bigint, first bigint, each bigint")
     before = Window.partitionBy("pack_id", "tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -228,12 +250,12 @@ def packed(documents: DataFrame, packs: DataFrame, tokenizer: str = TOKENIZER) -
     )
     same_id = Window.partitionBy("pack_id", "doc_id").orderBy("size")
     own = (
-        sizes.join(F.broadcast(few), F.col("size") > F.col("capacity")).withColumn("again", F.row_number().over(same_id))
+        every.where("size > capacity").withColumn("again", F.row_number().over(same_id))
         .select("pack_id", "capacity", name, "doc_id", "again", F.explode(F.expr("sequence(0L, size div capacity - 1)")).alias("part"), F.col("capacity").cast("bigint").alias("tokens"))
         .withColumn("container_id", F.concat(F.lit("d"), "doc_id", F.lit("-"), "part", F.when(F.col("again") > 1, F.concat(F.lit("#"), "again")).otherwise("")))
         .drop("again")
     )
-    empty = sizes.where("size = 0").join(F.broadcast(few)).select(
+    empty = every.where("size = 0").select(
         "pack_id", "capacity", name, "doc_id", F.lit(0).cast("bigint").alias("part"), F.lit(0).cast("bigint").alias("tokens"), F.lit(None).cast("string").alias("container_id")
     )
     return placed.unionByName(own).unionByName(empty)
