@@ -42,9 +42,8 @@ def _salt() -> Column:
     return F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
 
 
-def members(items: DataFrame) -> DataFrame:
-    """id, digest, kept_id, n_copies of every item, singletons included."""
-    keys = cut(keyed(items).distinct())
+def members(keys: DataFrame) -> DataFrame:
+    """id, digest, kept_id, n_copies of every row of ``keys`` (id, digest; written, each once), singletons included."""
     hot = cut(keys.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("digest"))
     few = hot.count() <= BROADCAST_KEYS
     small = F.broadcast if few else lambda frame: frame
@@ -62,11 +61,11 @@ def members(items: DataFrame) -> DataFrame:
 
 def copies(items: DataFrame) -> DataFrame:
     """kept_id, copy_id: one row for each member but the representative."""
-    return members(items).where("id <> kept_id").select("kept_id", F.col("id").alias("copy_id"))
+    return members(cut(keyed(items).distinct())).where("id <> kept_id").select("kept_id", F.col("id").alias("copy_id"))
 
 
 def collapsed(items: DataFrame) -> DataFrame:
     """The representatives with all their columns and n_copies."""
-    kept = members(items).where("id = kept_id").select(F.col("id").alias("item_id"), "n_copies")
+    kept = members(cut(keyed(items).distinct())).where("id = kept_id").select(F.col("id").alias("item_id"), "n_copies")
     clashing = [c for c in ("n_copies",) if c in items.columns]
     return items.drop(*clashing).dropDuplicates(["item_id"]).join(kept.groupBy("item_id").agg(F.max("n_copies").alias("n_copies")), "item_id")

@@ -1,7 +1,9 @@
 """Near-duplicate records with small edits: all pairs of items at least THRESHOLD alike, exactly.
 
 An item's set holds its neighbouring word pairs. Items share a bucket when they share one of their rare
-pairs (prefix filter: two sets this alike must share a pair among the rarest of each, so no link is lost).
+pairs (prefix filter: two sets this alike must share a pair among the first of each, in any order that holds
+for all sets, so no link is lost). The order is by how often a pair occurs, counted in a table of COUNTERS
+counters, whatever the number of pairs; pairs that share a counter are told apart by their hashes.
 Inside a bucket sets are bitmaps of BITS bits, ordered by population count and compared tile by tile with
 numpy: exclusive-or and bit counts. A pair survives when its differing bits do not exceed the radius that
 the threshold allows for its sizes; tile pairs whose population counts differ beyond the radius are
@@ -25,12 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.copies import canonical
+from tallyloom.llm.copies import members as copies_members
 from tallyloom.session import cut
 
 THRESHOLD = 0.6
 BITS = 256
 TILE = 1024
 BLOCK = 8192
+COUNTERS = 1 << 20
 SMALL = 64
 
 
@@ -54,15 +58,45 @@ def prepared(items: DataFrame, key: str = "item_id", stem: str = "stem", choices
     ).where(F.size("pairs") > 0)
 
 
-def _bitmap(pairs: Column) -> Column:
-    """BITS bits as an array of 64-bit words, bit h mod BITS set for each hash h."""
-    one = F.lit(1).cast("bigint")
-    set_bit = lambda acc, h: acc.bitwiseOR(F.call_function("shiftleft", one, F.pmod(h, F.lit(64)).cast("int")))
+def _bitmaps(rows: np.ndarray, tokens: np.ndarray, n: int) -> list[bytes]:
+    """BITS bits for each of n sets given as (row, hash): bit h mod BITS is set."""
+    bits = np.zeros((n, BITS), dtype=np.uint8)
+    bits[rows, tokens & (BITS - 1)] = 1
+    return [x.tobytes() for x in np.packbits(bits, axis=1)]
 
-    def word(i: int) -> Column:
-        return F.aggregate(F.filter(pairs, lambda h: F.pmod(h, F.lit(BITS)).between(64 * i, 64 * i + 63)), F.lit(0).cast("bigint"), set_bit)
 
-    return F.array(*[word(i) for i in range(BITS // 64)])
+class Entries:
+    """The bucket entries of sets: prefixes in the order of the counters, each with the set's size and bitmap."""
+
+    def __init__(self, counters: np.ndarray, threshold: float):
+        self.counters, self.threshold = counters, threshold
+
+    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t = self.threshold
+        for batch in batches:
+            if not len(batch):
+                continue
+            size = batch["pairs"].map(len).to_numpy()
+            rows, tokens = np.repeat(np.arange(len(batch)), size), np.concatenate(batch["pairs"].to_numpy()).astype(np.int64)
+            bits = pd.Series(_bitmaps(rows, tokens, len(batch)), dtype=object)
+            often = self.counters[tokens & (COUNTERS - 1)]
+            order = np.lexsort((tokens, often, rows))
+            at = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size)
+            # A set's probe prefix serves partners of any size, its index prefix those at least as large.
+            probe = size - np.ceil(t * size - 1e-9).astype(int) + 1
+            index = size - np.ceil(2 * t / (1 + t) * size - 1e-9).astype(int) + 1
+            # The least possible count of a pair is that of its counter: where that is one, no other set has the pair.
+            kept = (at < probe[rows]) & (often[order] > 1)
+            row, token, blocks = rows[kept], tokens[order][kept], -(-often[order][kept] // BLOCK)
+            first = at[kept] < index[row]
+            part = (batch["id"].to_numpy()[row].astype(np.int64) * 0x9E3779B1 >> 7) % blocks
+            many = np.repeat(np.arange(len(row)), blocks)
+            other = np.arange(len(many)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            i, j = np.minimum(part[many], other), np.maximum(part[many], other)
+            yield pd.DataFrame({
+                "id": batch["id"].to_numpy()[row[many]], "token": token[many], "first": first[many], "part": part[many], "i": i, "j": j,
+                "size": size[row[many]], "bits": bits.to_numpy()[row[many]],
+            })
 
 
 class Tiles:
@@ -114,7 +148,7 @@ class Tiles:
 
     def pairs(self, frame: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
         rows = {c: frame[c].to_numpy() for c in ("id", "size", "first", "part", "i", "j")}
-        rows["bits"] = np.array(frame["bits"].tolist(), dtype=np.int64).view(np.uint64).reshape(len(frame), -1)
+        rows["bits"] = np.frombuffer(b"".join(frame["bits"]), dtype=np.uint64).reshape(len(frame), -1)
         sizes, found = np.diff(bounds), []
         for size in np.unique(sizes):
             starts = bounds[:-1][sizes == size]
@@ -145,42 +179,32 @@ class Tiles:
             yield self.pairs(frame, np.array([0, len(frame)]))
 
 
+def counters(sets: DataFrame) -> np.ndarray:
+    """How many pairs of all sets fall to each of COUNTERS counters: an array of fixed size, whatever the number of sets."""
+    held = sets.select(F.explode("pairs").alias("token")).groupBy(F.col("token").bitwiseAND(F.lit(COUNTERS - 1)).alias("counter")).agg(F.count("*").alias("n")).toPandas()
+    out = np.zeros(COUNTERS, dtype=np.int64)
+    out[held["counter"].to_numpy(dtype=np.int64)] = held["n"].to_numpy(dtype=np.int64)
+    return out
+
+
 def class_pairs(items: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(a, b) of class representatives at least ``threshold`` alike, and the membership (id, digest, rep)."""
-    every = prepared(items)
-    classes = every.groupBy("digest", "pairs").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("n"))
-    reps = cut(classes.select("rep", "n", "digest", "pairs"))
-    tokens = reps.select("rep", F.explode("pairs").alias("token"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = (
-        tokens.join(often, "token", "left")
-        .groupBy("rep").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token"))).alias("ranked"))
-    )
-    n = F.size("ranked")
-    # A set's probe prefix serves partners of any size, its index prefix those at least as large.
-    probe = n - F.ceil(F.lit(threshold) * n - 1e-9) + 1
-    index = n - F.ceil(F.lit(2 * threshold / (1 + threshold)) * n - 1e-9) + 1
-    signature = reps.select(F.col("rep").alias("id"), F.size("pairs").alias("size"), _bitmap(F.col("pairs")).alias("bits"))
-    entries = (
-        ranked.select(F.col("rep").alias("id"), F.posexplode(F.slice("ranked", F.lit(1), probe.cast("int"))).alias("pos", "t"), index.alias("index"))
-        .where("t.df > 1")
-        .select("id", F.col("t.token").alias("token"), F.col("t.df").alias("df"), (F.col("pos") < F.col("index")).alias("first"))
-    )
-    blocks = F.ceil(F.col("df") / F.lit(BLOCK)).cast("int")
-    spread = (
-        entries.withColumn("blocks", blocks).withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("id", "token", "first", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    """(a, b, differ) of class representatives at least ``threshold`` alike, and the membership (id, class, rep, n)."""
+    # A class is told by the copies key and a hash of the set, 64 bits beside 256.
+    every = cut(prepared(items).withColumn("class", F.concat("digest", F.unhex(F.hex(F.xxhash64("pairs"))))))
+    members = cut(copies_members(every.select("id", F.col("class").alias("digest")).distinct()).select("id", F.col("digest").alias("class"), F.col("kept_id").alias("rep"), F.col("n_copies").alias("n")))
+    # A repeated row stays here; what it finds is found once more, and falls together below.
+    reps = every.join(members.where("id = rep").select("id", "class"), ["id", "class"], "left_semi").select(F.col("id").alias("rep"), "digest", "pairs")
+    entries = reps.select(F.col("rep").alias("id"), "pairs").mapInPandas(
+        Entries(counters(reps), threshold).__call__, f"id {_type(items)}, token bigint, first boolean, part bigint, i bigint, j bigint, size bigint, bits binary"
     )
     candidates = (
-        spread.join(signature, "id").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-        .mapInPandas(Tiles(threshold).__call__, f"a {_type(items)}, b {_type(items)}").distinct()
+        entries.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+        .mapInPandas(Tiles(threshold).__call__, f"a {_type(items)}, b {_type(items)}").where("a <> b").distinct()
     )
     left = reps.select(F.col("rep").alias("a"), F.col("digest").alias("da"), F.col("pairs").alias("pa"))
     right = reps.select(F.col("rep").alias("b"), F.col("digest").alias("db"), F.col("pairs").alias("pb"))
     both = F.size(F.array_intersect("pa", "pb"))
     alike = candidates.join(left, "a").join(right, "b").where(both >= F.lit(threshold) * (F.size("pa") + F.size("pb") - both) - 1e-9)
-    members = every.select("id", "digest", "pairs").join(reps.select("rep", "n", "digest", "pairs"), ["digest", "pairs"]).select("id", "digest", "rep", "n")
     return alike.select("a", "b", (F.col("da") != F.col("db")).alias("differ")), members
 
 
@@ -193,6 +217,7 @@ def near_pairs(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pairs, members = class_pairs(items, threshold)
     pairs = cut(pairs.where("differ").select("a", "b"))
     several = members.select("rep", "id")
+    # TESTDATA.md defines the result as pairs of items, so here the members of two classes do meet.
     return (
         pairs.join(several.withColumnsRenamed({"rep": "a", "id": "x"}), "a").join(several.withColumnsRenamed({"rep": "b", "id": "y"}), "b")
         .where("x <> y").select(F.least("x", "y").alias("item_id_a"), F.greatest("x", "y").alias("item_id_b")).distinct()
@@ -200,7 +225,14 @@ def near_pairs(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def near_groups(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """item_id, class_id, n_links: each item with its class of equal items and the number of near classes linked to that."""
+    """item_id, class_id, linked_class: every item with its class of equal items, and a row for each near class; null for a class without one.
+
+    The rows with item_id = class_id are the pairs of representatives, all rows the membership: groups can be
+    built from them, and no class is multiplied by another.
+    """
     pairs, members = class_pairs(items, threshold)
-    ends = pairs.select("a").union(pairs.select("b")).toDF("rep").groupBy("rep").agg(F.count("*").alias("n_links"))
-    return members.join(ends, "rep", "left").select(F.col("id").alias("item_id"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    pairs = cut(pairs.select("a", "b").distinct())
+    ends = pairs.select(F.col("a").alias("rep"), F.col("b").alias("linked")).union(pairs.select("b", "a"))
+    links = members.where("id = rep").select("id", "rep").join(ends, "rep", "left").select(F.col("id").alias("item_id"), F.col("rep").alias("class_id"), F.col("linked").alias("linked_class"))
+    others = members.where("id <> rep").select(F.col("id").alias("item_id"), F.col("rep").alias("class_id"), F.lit(None).cast(_type(items)).alias("linked_class"))
+    return links.unionByName(others)
