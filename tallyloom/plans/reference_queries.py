@@ -261,12 +261,13 @@ def top_n_per_deck(s, d):
     return balance.first_of_each(_questions(s, d).select("deck", "item_id", "question_number"), ["deck"], [F.col("question_number"), F.col("item_id")], 5)
 
 
-@query()
+@query("select deck, item_id from (select *, row_number() over (partition by deck order by md5('42:' || item_id), item_id) as r from questions_block) where r <= 5")
 def stratified_sample(s, d):
     return balance.sample_of_each(_questions(s, d).select("deck", "item_id"), ["deck"], "item_id", 5)
 
 
-@query()
+@query("""with b as (select item_id, ('0x' || left(md5(item_id::varchar), 7))::int % 100 as band from questions_block)
+  select item_id, case when band < 10 then 'test' when band < 30 then 'validation' else 'train' end as split from b""")
 def split_70_10_20(s, d):
     return _questions(s, d).select("item_id", balance.split_band(F.col("item_id")).alias("split"))
 
