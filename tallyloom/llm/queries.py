@@ -129,5 +129,16 @@ ORACLE: dict[str, str] = {
       select kept_id, item_id as copy_id from keyed join grouped using (s, c) where item_id <> kept_id""",
     "p7_collapsed": f"""with {_KEYED}
       select k.item_id, k.corpus, k.question_number, k.stem, g.n_copies from keyed k join grouped g on k.item_id = g.kept_id""",
+    "p2_groups": f"""with {_KEYED}, {_PAIRS},
+      classed as (select k.item_id, min(k.item_id) over (partition by s, c, m) as class_id, n from keyed k join (select item_id, list_sort(list(m)) as m, count(*) as n from members group by item_id) using (item_id)),
+      rep as (select item_id, n from classed where item_id = class_id), held as (select item_id, m from members where item_id in (select item_id from rep)),
+      shared as (select a.item_id as x, b.item_id as y, count(*) as k from held a join held b on a.m = b.m and a.item_id <> b.item_id group by all),
+      linked as (select x, y from shared join rep sx on x = sx.item_id join rep sy on y = sy.item_id where 1.0 * k / (sx.n + sy.n - k) >= 0.6)
+      select item_id, class_id, y as linked_class from classed left join linked on item_id = class_id and x = class_id""",
     "p9_found": f"with {_LEAKS} select doc_id, id from found",
+    "p9_leaked_items": f"""with {_LEAKS},
+      b as (select doc_id, ' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ' as body from documents),
+      a as (select id, [x for x in [' ' || trim(regexp_replace(lower(c), '[^a-z0-9]+', ' ', 'g')) || ' ' for c in choices] if length(x) > 2] as answers from public_items)
+      select id, count(distinct doc_id) as n_documents, count(distinct case when len([x for x in answers if contains(body, x)]) > 0 then doc_id end) as n_with_choice
+      from found join a using (id) join b using (doc_id) group by id""",
 }
