@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,43 +31,95 @@ def sequence_ratio(a: Column, b: Column) -> Column:
     return _ratio(a, b)
 
 
-def _bumped(a: Column, b: Column, bump: float, least: int, cap: int) -> tuple[Column, Column]:
-    """Whether a common beginning of more than ``least`` (up to ``cap``) characters matches, and the ratio's length bound."""
-    n = F.least(F.length(a), F.length(b), F.lit(cap))
-    same = (n > least) & (F.substring(a, F.lit(1), n) == F.substring(b, F.lit(1), n))
-    bound = 2.0 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
-    return same, bound
+_SYMBOLS = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789")}
+
+
+def _letter_counts(text: str) -> np.ndarray:
+    return np.bincount([_SYMBOLS[c] for c in text if c in _SYMBOLS], minlength=len(_SYMBOLS)) if text else np.zeros(len(_SYMBOLS), dtype=np.int64)
+
+
+class Bank:
+    """Finds the entry of a bounded bank that is most like a squashed text.
+
+    No ratio exceeds twice the common letters over all letters, so entries are tried from the highest such bound on
+    and the rest is left out once it cannot win; the result is that of trying all. What the measure prepares of an
+    entry is kept from text to text.
+    """
+
+    def __init__(self, entries: list[tuple[int, str]], bump: float, prefix: int, cap: int):
+        self.entries, self.bump, self.prefix, self.cap = entries, bump, prefix, cap
+        self.counts = np.array([_letter_counts(t) for _, t in entries]).reshape(len(entries), len(_SYMBOLS))
+        self.lengths = self.counts.sum(axis=1)
+        self.matchers: dict[int, SequenceMatcher] = {}
+
+    def score(self, i: int, text: str) -> float:
+        if i not in self.matchers:
+            if len(self.matchers) >= 20_000:
+                self.matchers.clear()
+            self.matchers[i] = SequenceMatcher(None, "", self.entries[i][1])
+        self.matchers[i].set_seq1(text)
+        return self.matchers[i].ratio()
+
+    def best(self, text: str, least: float) -> tuple[int, float] | None:
+        """(entry, score) of the first of the best entries with a score of ``least`` or more."""
+        if not self.entries:
+            return None
+        own = _letter_counts(text)
+        total = self.lengths + own.sum()
+        bound = np.where(total > 0, 2.0 * np.minimum(self.counts, own).sum(axis=1) / np.maximum(total, 1), 1.0)
+        n = [min(len(text), len(t), self.cap) for _, t in self.entries]
+        same = np.array([k > self.prefix and text[:k] == t[:k] for k, (_, t) in zip(n, self.entries, strict=True)])
+        bound = np.where(same, np.maximum(bound, self.bump), bound)
+        found: tuple[float, int] | None = None
+        for i in np.argsort(-bound, kind="stable"):
+            if bound[i] < max(least, found[0] if found else 0.0) - 1e-12:
+                break
+            score = max(self.score(i, text), self.bump if same[i] else 0.0)
+            # Of equal scores the first entry wins.
+            if score >= least and (found is None or (score, -self.entries[i][0]) > (found[0], -self.entries[found[1]][0])):
+                found = (score, i)
+        return None if found is None else (found[1], found[0])
+
+
+def _arg_max(stems: DataFrame, bank: list[tuple[int, str]], bump: float, prefix: int, cap: int) -> DataFrame:
+    """id, pos, score of stems (id, s, least) by a bank (pos, squashed text), which every task holds."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = Bank(bank, bump, prefix, cap)
+        for batch in batches:
+            hits = [(i, held.best(s or "", least)) for i, s, least in zip(batch["id"], batch["s"], batch["least"], strict=True)]
+            yield pd.DataFrame([(i, bank[h[0]][0], h[1]) for i, h in hits if h], columns=["id", "pos", "score"])
+
+    kind = stems.schema["id"].dataType.simpleString()
+    return stems.select("id", "s", "least").mapInPandas(scan, f"id {kind}, pos int, score double")
+
+
+def _bank(frame: DataFrame, most: int) -> list[tuple[int, str]]:
+    rows = frame.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a bank of more than {most} entries needs blocking first")
+    return sorted((r.pos, r.t or "") for r in rows)
 
 
 def best_terms(stems: DataFrame, terms: DataFrame, most_terms: int = 50_000) -> DataFrame:
     """id, pos, term, definition, score: for each stem the first of the terms most alike, rejected below STEM_REJECT.
 
-    ``stems`` has id and stem; ``terms`` has pos, term and definition and is a bounded bank, checked here. A
-    pair whose lengths cannot reach the threshold is left out before the costly ratio, unless the beginnings match.
+    ``stems`` has id and stem; ``terms`` has pos, term and definition and is a bounded bank, checked here.
     """
-    if terms.limit(most_terms + 1).count() > most_terms:
-        raise ValueError(f"a bank of more than {most_terms} terms needs blocking first")
-    left = stems.select("id", squash(F.col("stem")).alias("s"))
-    right = terms.select("pos", "term", "definition", squash(F.col("term")).alias("t"))
-    same, bound = _bumped(F.col("s"), F.col("t"), STEM_BUMP, STEM_PREFIX, STEM_CAP)
-    pairs = left.join(F.broadcast(right), same | (bound >= STEM_REJECT)).withColumn("same", same)
-    scored = pairs.withColumn("score", F.greatest(sequence_ratio(F.col("s"), F.col("t")), F.when(F.col("same"), STEM_BUMP).otherwise(0.0)))
-    best = scored.groupBy("id").agg(F.max_by(F.struct("pos", "term", "definition", "score"), F.struct("score", -F.col("pos"))).alias("b"))
-    return best.select("id", "b.*").where(F.col("score") >= STEM_REJECT)
+    bank = _bank(terms.select("pos", squash(F.col("term")).alias("t")), most_terms)
+    left = stems.select("id", squash(F.col("stem")).alias("s"), F.lit(STEM_REJECT).alias("least"))
+    best = _arg_max(left, bank, STEM_BUMP, STEM_PREFIX, STEM_CAP)
+    return best.join(F.broadcast(terms.select("pos", "term", "definition")), "pos").select("id", "pos", "term", "definition", "score")
 
 
 def best_lines(stems: DataFrame, lines: DataFrame, found: DataFrame, most_lines: int = 200_000) -> DataFrame:
     """The fallback for stems without a good term: the most alike raw line, if it is as good as what was found."""
-    if lines.limit(most_lines + 1).count() > most_lines:
-        raise ValueError(f"a dump of more than {most_lines} lines needs blocking first")
+    squashed = lines.select("pos", "line", squash(F.col("line")).alias("t")).where(F.length("t") >= LINE_SHORTEST)
+    bank = _bank(squashed.select("pos", "t"), most_lines)
     open_ = stems.join(found.select("id", "score"), "id", "left").where(F.coalesce("score", F.lit(0.0)) < LINE_TRY_BELOW)
     left = open_.select("id", squash(F.col("stem")).alias("s"), F.coalesce("score", F.lit(0.0)).alias("least"))
-    right = lines.select("pos", "line", squash(F.col("line")).alias("t")).where(F.length("t") >= LINE_SHORTEST)
-    same, bound = _bumped(F.col("s"), F.col("t"), LINE_BUMP, LINE_PREFIX, LINE_CAP)
-    pairs = left.join(F.broadcast(right), same | (bound >= F.col("least"))).withColumn("same", same)
-    scored = pairs.withColumn("score", F.greatest(sequence_ratio(F.col("s"), F.col("t")), F.when(F.col("same"), LINE_BUMP).otherwise(0.0)))
-    best = scored.where("score >= least").groupBy("id").agg(F.max_by(F.struct("pos", "line", "score"), F.struct("score", -F.col("pos"))).alias("b"))
-    return best.select("id", "b.*")
+    best = _arg_max(left, bank, LINE_BUMP, LINE_PREFIX, LINE_CAP)
+    return best.join(F.broadcast(squashed.select("pos", "line")), "pos").select("id", "pos", "line", "score")
 
 
 @F.pandas_udf(T.StructType([T.StructField("letter", T.StringType()), T.StructField("score", T.DoubleType())]))

@@ -95,14 +95,21 @@ def richer(items: DataFrame, key: Column, fields: list[str], order: str) -> Data
     return ranked.where("_key <> ''").select("x.*").unionByName(items.where(F.coalesce(key, F.lit("")) == ""))
 
 
-def contaminated(texts: DataFrame, held_out: DataFrame, key: str, text: str, n: int = 8) -> DataFrame:
-    """key, n_shared: rows that share runs of n words with any held-out text, and how many."""
-    grams = lambda c: F.expr(f"array_distinct(transform(filter(sequence(0, size({c}) - {n}), i -> size({c}) >= {n}), i -> array_join(slice({c}, i + 1, {n}), ' ')))")
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
-    known = held_out.select(words(F.col("question")).alias("w")).where(F.size("w") >= n).select(F.explode(grams("w")).alias("g")).distinct()
-    seen = texts.select(key, words(F.col(text)).alias("w")).where(F.size("w") >= n).select(key, F.explode(grams("w")).alias("g"))
-    return seen.join(known, "g", "left_semi").groupBy(key).agg(F.count("*").alias("n_shared"))
-
+def contaminated(texts: DataFrame, held_out: DataFrame, key: str, text: str, n: int = 8, most_known: int = 2_000_000) -> DataFrame:
+    """key, n_shared: rows that share runs of n words with any held-out text, and how many different ones.
 
-def canonical_key(stem: Column) -> Column:
-    return squash(stem)
+    Runs meet as 64-bit hashes. Where the held-out runs are few enough (checked) they are broadcast, and a hit is
+    verified word by word where the text is; beyond that the hits alone are shuffled, told apart by 128 bits.
+    """
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+    starts = f"transform(filter(sequence(0, size(w) - {n}), i -> size(w) >= {n}), i -> i)"
+    known = held_out.select(words(F.col("question")).alias("w")).where(F.size("w") >= n)
+    known = known.select(F.expr(f"explode(transform({starts}, i -> slice(w, i + 1, {n})))").alias("g")).select(F.xxhash64("g").alias("h"), F.array_join("g", " ").alias("g")).distinct()
+    seen = texts.select(key, words(F.col(text)).alias("w")).where(F.size("w") >= n)
+    if known.limit(most_known + 1).count() <= most_known:
+        at = seen.select(key, "w", F.expr(f"posexplode_outer(transform({starts}, i -> xxhash64(slice(w, i + 1, {n}))))").alias("i", "h"))
+        hits = at.join(F.broadcast(known), "h").where(F.expr(f"array_join(slice(w, i + 1, {n}), ' ') = g")).select(key, "g")
+        return hits.distinct().groupBy(key).agg(F.count("*").alias("n_shared"))
+    wide = lambda g: F.struct(F.xxhash64(g), F.xxhash64(F.lit(1), g))
+    at = seen.select(key, F.explode(F.expr(f"array_distinct(transform({starts}, i -> array_join(slice(w, i + 1, {n}), ' ')))")).alias("g")).select(key, wide(F.col("g")).alias("g"))
+    return at.join(known.select(wide(F.col("g")).alias("g")), "g", "left_semi").groupBy(key).agg(F.count("*").alias("n_shared"))

@@ -99,10 +99,11 @@ def leaderboard(accuracy: DataFrame, by: list[str], score: str, name: str) -> Da
 
 def labelled_accuracy(items: DataFrame, predictions: DataFrame, labels: DataFrame) -> DataFrame:
     """run, total, correct, accuracy over all labelled items; a reply without a letter is wrong, not left out."""
-    runs = predictions.select("run").distinct()
-    wanted = items.join(labels, "id", "left_semi").select("id")
-    grid = wanted.join(F.broadcast(runs)).join(labels, "id").join(predictions, ["run", "id"], "left")
-    agg = grid.groupBy("run").agg(F.count("*").alias("total"), F.count_if(F.col("pred_index").eqNullSafe(F.col("correct_index"))).alias("correct"))
+    wanted = labels.join(items.select("id").distinct(), "id", "left_semi")
+    # Every run has the same total, so no run needs a row beside every item.
+    total = wanted.agg(F.count("*")).scalar()
+    right = predictions.join(wanted, "id", "left").groupBy("run").agg(F.count_if(F.col("pred_index") == F.col("correct_index")).alias("correct"))
+    agg = right.select("run", total.alias("total"), "correct")
     return agg.withColumn("accuracy", F.bround(F.col("correct") / F.col("total"), 6))
 
 

@@ -230,7 +230,7 @@ def percent_shares(s, d):
 def best_dump_lines(s, d):
     """Options without a good term beside the held-out questions as raw lines."""
     e = table(s, d, "explained_items").where("option_b is not null").select(F.col("explained_id").alias("id"), F.col("option_b").alias("stem"))
-    lines = table(s, d, "public_items").select(F.conv(F.substring("id", 1, 7), 16, 10).cast("int").alias("pos"), F.get("choices", F.lit(1)).alias("line"))
+    lines = table(s, d, "public_items").select(F.conv(F.substring("id", 4, 7), 16, 10).cast("int").alias("pos"), F.get("choices", F.lit(1)).alias("line"))
     return similarity.best_lines(e, lines, e.limit(0).select("id", F.lit(0.0).alias("score")))
 
 
@@ -302,7 +302,7 @@ def model_reconstructed(s, d):
 
 @query("select topic, case when n >= 3 then [1, 2, 3] else range(1, n + 1)::int[] end as keep from (select topic, count(*) as n from public_items group by topic)")
 def model_keeps(s, d):
-    items = table(s, d, "public_items").select("topic", F.conv(F.substring("id", 1, 7), 16, 10).cast("int").alias("question_number"), F.col("question").alias("stem"))
+    items = table(s, d, "public_items").select("topic", F.conv(F.substring("id", 4, 7), 16, 10).cast("int").alias("question_number"), F.col("question").alias("stem"))
     return modelcall.picked_indices(items, modelcall.JsonClient({"keep": [2, 2, 900, 3]}), "topic", 3)
 
 

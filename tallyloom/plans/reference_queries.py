@@ -272,11 +272,11 @@ def split_70_10_20(s, d):
     return _questions(s, d).select("item_id", balance.split_band(F.col("item_id")).alias("split"))
 
 
-@query("""with k as (select pred_id, list_transform([length(reason), question_number, length(reason), question_number % 7, 3], lambda x: x % 12 + 0) as g from predictions_option where reason is not null),
+@query("""with k as (select pred_id, list_transform([length(reason), question_number, length(reason), question_number % 7, 3], lambda x: x % 12 + 0) as g from predictions_option),
   v as (select pred_id, list_filter(g, lambda x, i: x between 1 and 10 and list_position(g, x) = i) as v from k)
   select pred_id, list_sort((v || list_filter(range(1, 11), lambda x: not list_contains(v, x)))[1:5])::int[] as keep from v""")
 def keep_list_normalise(s, d):
-    rows = _option(s, d).where("reason is not null")
+    rows = _option(s, d)
     raw = F.transform(F.array(F.length("reason"), "question_number", F.length("reason"), F.col("question_number") % 7, F.lit(3)), lambda x: (x % 12).cast("int"))
     return rows.select("pred_id", balance.keep_list(raw, 10, 5).alias("keep"))
 
@@ -454,42 +454,50 @@ def clamp(s, d):
 
 
 def _as_file(s, d):
-    """The questions rendered as block files, one a deck, as text frames."""
+    """The questions rendered as block files, one a deck, as text frames: stems that go on in a second line, a stray line behind the first choice."""
     q = _questions(s, d).where("stem is not null and not stem rlike '[\\\\n\\\\r]'").where(F.forall(_values(), lambda v: ~v.rlike(r"[\n\r]")))
     written = q.select("deck", "question_number", F.explode(F.array("item_id")).alias("item_id")).join(sinks.rendered(q), "question_number")
+    broken = F.regexp_replace(F.regexp_replace("block", r"\A(\d+\. \S+) ", "$1\n"), r"(\nA\. [^\n]*)", "$1\nstray line")
+    written = written.withColumn("block", broken)
     return written.groupBy(F.coalesce("deck", F.lit("none")).alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("question_number", "block"))), lambda x: x["block"]), "\n\n").alias("text"))
 
 
-_READ = r"""select question_number, trim(regexp_replace(stem, '[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) as stem, len(map_keys(choices))::int as n_choices
-  from questions_block where stem is not null and not regexp_matches(stem, '[\n\r]') and len(list_filter(map_values(choices), lambda v: regexp_matches(v, '[\n\r]'))) = 0"""
+def _read_sql(stem: str, stray: str, extra: str = "") -> str:
+    sq = lambda x: rf"trim(regexp_replace({x}, '[\s\x{{0b}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))"
+    return rf"""select question_number, {stem} as stem, n_choices, case when a is not null then a || '{stray}' end as first_choice from (
+      select question_number, {sq('stem')} as st, len(map_keys(choices))::int as n_choices, {sq("choices['A']")} as a from questions_block
+      where stem is not null and not regexp_matches(stem, '[\n\r]') and len(list_filter(map_values(choices), lambda v: regexp_matches(v, '[\n\r]'))) = 0) {extra}"""
+
+
+_FIRST_WORD = "split_part(st, ' ', 1)"
 
 
 def _read(s, d, dialect):
     got = blocks.items(_as_file(s, d), dialect)
-    return got.select("question_number", "stem", F.size("choices").alias("n_choices"))
+    return got.select("question_number", text.squeeze(F.col("stem")).alias("stem"), F.size("choices").alias("n_choices"), text.squeeze(F.try_element_at("choices", F.lit("A"))).alias("first_choice"))
 
 
-@query(_READ)
+@query(_read_sql("st", ""))
 def block_reader_stripping(s, d):
     return _read(s, d, "stripping")
 
 
-@query(_READ)
+@query(_read_sql(_FIRST_WORD, ""))
 def block_reader_mapped(s, d):
     return _read(s, d, "mapped")
 
 
-@query(_READ + " and len(map_keys(choices)) = 4")
+@query(_read_sql(_FIRST_WORD, "", "where n_choices = 4"))
 def block_reader_strict(s, d):
     return _read(s, d, "strict")
 
 
-@query(_READ)
+@query(_read_sql("st", " stray line"))
 def block_reader_lookahead(s, d):
     return _read(s, d, "lookahead")
 
 
-@query(_READ)
+@query(_read_sql("st", " stray line"))
 def block_reader_lenient(s, d):
     return _read(s, d, "lenient")
 
@@ -565,18 +573,17 @@ def prompt_build(s, d):
 
 
 @query(r"""with t as (select explained_id, list_filter(string_split(trim(regexp_replace(lower(option_b), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') as o,
-  string_split(trim(regexp_replace(lower(explanation), '[^a-z0-9]+', ' ', 'g')), ' ') as h from explained_items where option_b is not null and explanation is not null)
-  select explained_id, case when len(o) = 0 then 0.0::double else len(list_filter(o, lambda x: list_contains(h, x)))::double / len(o) end as overlap from t""")
+  string_split(trim(regexp_replace(lower(explanation), '[^a-z0-9]+', ' ', 'g')), ' ') as h from explained_items)
+  select explained_id, case when coalesce(len(o), 0) = 0 then 0.0::double else coalesce(len(list_filter(o, lambda x: list_contains(h, x))), 0)::double / len(o) end as overlap from t""")
 def token_overlap(s, d):
-    e = table(s, d, "explained_items").where("option_b is not null and explanation is not null")
-    return e.select("explained_id", text.token_overlap(F.col("option_b"), F.col("explanation")).alias("overlap"))
+    e = table(s, d, "explained_items")
+    return e.select("explained_id", text.token_overlap(F.coalesce("option_b", F.lit("")), F.coalesce("explanation", F.lit(""))).alias("overlap"))
 
 
 @query()
 def difflib_best_match(s, d):
     """Every option of the explained items beside the bank of the held-out items' first choices."""
-    order = Window.partitionBy(F.lit(1)).orderBy("id")  # the held-out set is small and fixed; its order is data
-    bank = table(s, d, "public_items").select(F.row_number().over(order).alias("pos"), F.get("choices", F.lit(0)).alias("term"), F.col("topic").alias("definition"))
+    bank = table(s, d, "public_items").select(F.conv(F.substring("id", 4, 7), 16, 10).cast("int").alias("pos"), F.get("choices", F.lit(0)).alias("term"), F.col("topic").alias("definition"))
     stems = table(s, d, "explained_items").where("option_b is not null").select(F.col("explained_id").alias("id"), F.col("option_b").alias("stem"))
     return similarity.best_terms(stems, bank)
 
@@ -595,21 +602,21 @@ _PROSE = rf"regexp_replace(regexp_replace({_PROSE}, '\s+([.,;!?])', '\1', 'g'),
 _PROSE = f"replace(replace(replace(replace({_PROSE}, 'flashc cards', 'flash cards'), 'multiplechoice', 'multiple-choice'), 'coins insurance', 'coinsurance'), 'topics insurance regulation', 'topics, including insurance regulation')"
 
 
-@query(f"select doc_id, {_PROSE} as prose from documents where doc_kind = 'transcript' and text is not null")
+@query(f"select doc_id, {_PROSE} as prose from documents where text is not null")
 def prose_clean(s, d):
-    spoken = table(s, d, "documents").where((F.col("doc_kind") == "transcript") & F.col("text").isNotNull())
+    spoken = table(s, d, "documents").where(F.col("text").isNotNull())
     return spoken.select("doc_id", text.filler_free(F.col("text")).alias("prose"))
 
 
 @query()
 def prose_paragraphs(s, d):
-    spoken = table(s, d, "documents").where("doc_kind = 'transcript' and text is not null")
+    spoken = table(s, d, "documents").where("text is not null")
     return spoken.select("doc_id", parsing.prose_paragraphs(text.filler_free(F.col("text"))).alias("text"))
 
 
 @query()
 def prose_wrap(s, d):
-    return table(s, d, "documents").where("doc_kind = 'transcript'").select("doc_id", F.posexplode(parsing.wrapped_text(F.col("text"))).alias("piece", "line"))
+    return table(s, d, "documents").select("doc_id", F.posexplode(parsing.wrapped_text(F.col("text"))).alias("piece", "line"))
 
 
 @query("""with w as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from documents where text is not null),
@@ -689,28 +696,28 @@ def ordinal_join(s, d):
     return out.select("user_id", "k", "click_id", "view_id")
 
 
-@query("""with spans as (select o_orderkey, o_custkey, o_orderdate as lo, o_orderdate + interval 3 day as hi from orders where o_orderpriority = '1-URGENT')
+@query("""with spans as (select o_orderkey, o_custkey, o_orderdate as lo, o_orderdate + interval 3 day as hi from orders)
   select s.o_orderkey, count(*) as n from spans s join lineitem l on l.l_orderkey % 1500 = s.o_custkey % 1500 and l_shipdate >= lo and l_shipdate < hi group by s.o_orderkey""")
 def interval_containment(s, d):
-    spans = table(s, d, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", (F.col("o_custkey") % 1500).alias("g"), F.col("o_orderdate").alias("lo"), F.expr("o_orderdate + interval 3 days").alias("hi"))
+    spans = table(s, d, "orders").select("o_orderkey", (F.col("o_custkey") % 1500).alias("g"), F.col("o_orderdate").alias("lo"), F.expr("o_orderdate + interval 3 days").alias("hi"))
     points = table(s, d, "lineitem").select((F.col("l_orderkey") % 1500).alias("g"), "l_shipdate")
     return joins.within(points, spans, "l_shipdate", "lo", "hi", 3, ["g"]).groupBy("o_orderkey").agg(F.count("*").alias("n"))
 
 
-@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10)))))::int as line_no from documents where doc_kind = 'handbook' and text is not null),
+@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10)))))::int as line_no from documents where text is not null),
   b as (select *, sum((starts_with(line, '#') or starts_with(line, '=='))::int) over (partition by doc_id order by line_no)::bigint as block from l)
   select doc_id, block, count(*) as n_lines, min(line_no)::int as first_line from b group by all""")
 def line_sessionise(s, d):
-    lines = table(s, d, "documents").where("doc_kind = 'handbook' and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = table(s, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     marked = joins.sessions(lines, F.col("line").startswith("#") | F.col("line").startswith("=="), ["doc_id"], "line_no")
     return marked.groupBy("doc_id", "block").agg(F.count("*").alias("n_lines"), F.min("line_no").alias("first_line"))
 
 
-@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10)))))::int as line_no from documents where doc_kind = 'quiz' and text is not null)
+@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10)))))::int as line_no from documents where text is not null)
   select doc_id, line_no, max(case when starts_with(line, 'Q') then line_no end) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding) as before,
     min(case when starts_with(line, 'Q') then line_no end) over (partition by doc_id order by line_no rows between 1 following and unbounded following) as after from l""")
 def nearest_marker(s, d):
-    lines = table(s, d, "documents").where("doc_kind = 'quiz' and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = table(s, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return joins.nearest_markers(lines, F.col("line").startswith("Q"), ["doc_id"], "line_no").select("doc_id", "line_no", "before", "after")
 
 
@@ -754,15 +761,15 @@ def model_batches(s, d):
 # --- streaming ----------------------------------------------------------------------------------------------
 
 
-@query(f"""with {_GOLD} select p.corpus, run, count(*) as compared, count(*) filter (upper(trim(option)) = gold) as correct
-  from predictions_option p join gold g on g.corpus = p.corpus and g.question_number = p.question_number where upper(trim(option)) in ('A','B','C','D') group by p.corpus, run""")
+@query(f"""with {_GOLD}, p as (select corpus, run, question_number, option as l from predictions_option union all select corpus, run, question_number, answer from predictions_answer)
+  select p.corpus, run, count(*) as compared, count(*) filter (upper(trim(l)) = gold) as correct
+  from p join gold g on g.corpus = p.corpus and g.question_number = p.question_number where upper(trim(l)) in ('A','B','C','D') group by p.corpus, run""")
 def stream_run_log(s, d):
-    """The option runs as a file stream, read to its end, in complete mode."""
+    """The runs of both kinds as file streams, read to their end, in complete mode; what is kept is a row a run."""
     import uuid
 
-    batch = _option(s, d)
-    live = run_log.stream(s, f"{d}/predictions_option.parquet*", batch.schema)
-    name = f"run_log_{uuid.uuid4().hex}"
-    return run_log.drained(run_log.running_accuracy(live, cut(_gold(s, d))), name)
-
+    def live(name, letter):
+        return run_log.stream(s, f"{d}/{name}.parquet*", table(s, d, name).schema).select("corpus", "run", "question_number", F.col(letter).alias("letter_given"))
 
+    both = live("predictions_option", "option").unionByName(live("predictions_answer", "answer"))
+    return run_log.drained(run_log.running_accuracy(both, cut(_gold(s, d)), "letter_given"), f"run_log_{uuid.uuid4().hex}")
