@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.truncation import cut_texts, replies
+from tallyloom.llm.truncation import cut_texts
 
 MIN_MATCH = 8
 MIN_COVERED, MAX_GAP, MAX_END = 0.85, 26, 14
@@ -301,7 +301,8 @@ def broken(option: DataFrame, answer: DataFrame, questions: DataFrame) -> DataFr
     posed = option.select("pred_id", *keys, "option", "reason").join(first.select(*keys, prompt.alias("prompt")), keys, "left").select("pred_id", "option", "reason", "prompt")
     kind = option.schema["pred_id"].dataType.simpleString()
     judged = posed.mapInPandas(defects, f"pred_id {kind}, option_bad boolean, defect string")
-    cut = cut_texts(replies(option, answer), "pred_id", "reason").select("pred_id", F.lit("truncated").alias("cut")).distinct()
+    texts = option.select("pred_id", "reason", F.lit(True).alias("judged")).unionByName(answer.select("pred_id", "reason", F.lit(False).alias("judged")))
+    cut = cut_texts(texts, "pred_id", "reason", "judged").select("pred_id", F.lit("truncated").alias("cut")).distinct()
     return (
         judged.join(cut, "pred_id", "left")
         .select("pred_id", F.coalesce("defect", "cut", F.when(F.col("option_bad"), "empty")).alias("defect"))

@@ -101,10 +101,13 @@ def _count(share: Column) -> Column:
     return F.round(F.sum(share)).cast("bigint")
 
 
-def cut_texts(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """The keys of the rows of ``texts`` whose ``text`` was cut."""
+def cut_texts(texts: DataFrame, key: str, text: str, judged: str | None = None) -> DataFrame:
+    """The keys of the rows of ``texts`` whose ``text`` was cut.
+
+    All rows are counted; where a boolean column ``judged`` is named, only the ends of rows that it marks are looked at.
+    """
     bare = F.expr(f"rtrim({_q(_AFTER)}, `{text}`)")
-    source = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), bare.alias("p"))
+    source = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), bare.alias("p"), (F.col(judged) if judged else F.lit(True)).alias("judged"))
     weighted = _weighted(source)
     # Outer generators: else the words would be made once more for each condition that Spark infers from a generator.
     pieces = weighted.selectExpr("share", "explode_outer(split(p, ' ')) as piece").groupBy("piece").agg(F.sum("share").alias("share"))
@@ -119,12 +122,12 @@ def cut_texts(texts: DataFrame, key: str, text: str) -> DataFrame:
     runs = _runs(near.selectExpr("share", "z", "a", "b", "c", "if(d = '.', share, 0D) as ending"), common, "share", "ending")
     counted = cut_lineage(runs.groupBy("ctx", "c").agg(_count(F.col("share")).alias("n"), _count(F.col("ending")).alias("n_end")))
     # The last words lie in the last pieces between blanks, which a text's own splitting leaves as they are.
-    tail = source.where(f"right(rtrim({_q(_AFTER.replace('?', ''))}, t), 1) <> '?'").selectExpr("k", "p", f"substring_index(p, ' ', -{_TAIL}) as tail")
+    tail = source.where(f"judged and right(rtrim({_q(_AFTER.replace('?', ''))}, t), 1) <> '?'").selectExpr("k", "p", f"substring_index(p, ' ', -{_TAIL}) as tail")
     tail = tail.selectExpr("k", "p", "tail", f"{_words('tail')} as w")
-    tail = tail.selectExpr("k", f"if(size(w) >= 4 and size(filter(w, x -> x not in ('.', ','))) >= {MIN_WORDS} or length(tail) = length(p), w, {_words('p')}) as w")
+    tail = tail.selectExpr("k", f"if(size(w) >= 4 and size(array_remove(array_remove(w, '.'), ',')) >= {MIN_WORDS} or length(tail) = length(p), w, {_words('p')}) as w")
     # The generator stands between the words and their use, so that they are made once.
     ends = tail.selectExpr(
-        "k", "inline_outer(array(struct(get(w, size(w) - 4), get(w, size(w) - 3), get(w, size(w) - 2), get(w, size(w) - 1), size(filter(w, x -> x not in ('.', ',')))))) as (z, a, b, c, size)"
+        "k", "inline_outer(array(struct(get(w, size(w) - 4), get(w, size(w) - 3), get(w, size(w) - 2), get(w, size(w) - 1), size(array_remove(array_remove(w, '.'), ','))))) as (z, a, b, c, size)"
     ).where(f"size >= {MIN_WORDS} and c not in ('.', ':')")
     last = cut_lineage(_runs(ends, common, "k").selectExpr("k", "ctx", "c", "c in (',', ';', '–', '—') as hangs"))
     verdicts = _verdicts(counted, last.select("ctx", "c").distinct(), common)
