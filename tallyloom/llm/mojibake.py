@@ -85,18 +85,21 @@ def _skeleton() -> Column:
 
 
 def twin_runs(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """sk, at, run: the different runs in each position of the records that have a twin; copies of a record are none."""
-    body = _pieces(documents, key, text).select(_skeleton().alias("sk"), "v", "r")
+    """k, v, sk, at, run: the runs in each position of the records that have a twin, that is, an equal skeleton and another text."""
+    seen = cut(_pieces(documents, key, text).select("k", "v", _skeleton().alias("sk")))
     # Least and greatest version of a skeleton are counted before the shuffle, so a skeleton that many records share is no hot task.
-    several = body.groupBy("sk").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a <> b").select("sk")
-    return body.join(several, "sk", "left_semi").select("sk", F.posexplode("r").alias("at", "run")).distinct()
+    several = seen.groupBy("sk").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a <> b").select("sk")
+    ids = seen.join(several, "sk", "left_semi").select(F.col("k").alias(key)).distinct()
+    # Only records with a twin are read once more.
+    body = _pieces(documents.join(ids, key, "left_semi"), key, text).withColumn("sk", _skeleton())
+    return cut(body.select("k", "v", "sk", F.posexplode("r").alias("at", "run")).distinct())
 
 
 def runs(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, version and skeleton (hashes of the text, and of it stripped of non-ASCII), position, run of non-ASCII characters, the ASCII characters before and after it; equal rows once."""
-    parts = _pieces(documents, key, text).withColumn("sk", _skeleton())
+    """key, version (a hash of the text), position, run of non-ASCII characters, the ASCII characters before and after it; equal rows once."""
+    parts = _pieces(documents, key, text)
     near = F.expr(f"transform(r, (x, i) -> struct(i as at, x as run, right(concat(' ', get(s, i)), {WIDE}) as l, left(concat(get(s, i + 1), ' '), {WIDE}) as r))")
-    return parts.select("k", "v", "sk", F.explode(near).alias("x")).select("k", "v", "sk", "x.at", "x.run", _context(F.col("x.l")).alias("l"), _context(F.col("x.r")).alias("r"))
+    return parts.select("k", "v", F.explode(near).alias("x")).select("k", "v", "x.at", "x.run", _context(F.col("x.l")).alias("l"), _context(F.col("x.r")).alias("r"))
 
 
 def _undone(names: set[str] | None = None):
@@ -126,7 +129,8 @@ def learned(counts: DataFrame, twins: DataFrame) -> tuple[list[str], DataFrame]:
         .where("clean_n > n or clean_n = n and clean_rows > rows").select("run", F.explode("chains").alias("chain"))
     )
     # Of two twins the one that a transformation from one character to several explains is the garbled one; other transformations work both ways.
-    aligned = cut(twins.join(pairs.where("grows"), "run").join(twins.withColumnRenamed("run", "clean"), ["sk", "at", "clean"]).select("sk", "at", "run", "clean", "chain"))
+    places = twins.select("sk", "at", "run").distinct()
+    aligned = cut(places.join(pairs.where("grows"), "run").join(places.withColumnRenamed("run", "clean"), ["sk", "at", "clean"]).select("sk", "at", "run", "clean", "chain"))
     support = windows.unionByName(aligned.select("run", "chain")).groupBy("chain").agg(F.count_distinct("run").alias("n"))
     names = sorted(r.chain for r in support.where(F.col("n") >= MIN_PAIRS).collect())
     return names, aligned.where(F.col("chain").isin(names)).groupBy("sk", "at", "run").agg(F.min("clean").alias("clean"))
@@ -164,10 +168,11 @@ def garbled_runs(found: DataFrame, twins: DataFrame) -> tuple[DataFrame, DataFra
 def _marked(documents: DataFrame) -> DataFrame:
     """k, v, at, run, clean of each garbled run, each once."""
     found = runs(documents)
-    bad, shown = garbled_runs(found, twin_runs(documents))
-    near = found.select("k", "v", "sk", "at", "run", F.right("l", F.lit(NEAR)).alias("l"), F.left("r", F.lit(NEAR)).alias("r"))
+    twins = twin_runs(documents)
+    bad, shown = garbled_runs(found, twins)
+    near = found.select("k", "v", "at", "run", F.right("l", F.lit(NEAR)).alias("l"), F.left("r", F.lit(NEAR)).alias("r"))
     by_place = near.join(bad, ["l", "run", "r"]).select("k", "v", "at", "run", "clean", F.lit(1).alias("source"))
-    by_twin = near.join(shown, ["sk", "at", "run"]).select("k", "v", "at", "run", "clean", F.lit(0).alias("source"))
+    by_twin = twins.join(shown, ["sk", "at", "run"]).select("k", "v", "at", "run", "clean", F.lit(0).alias("source"))
     # A twin's own text is better evidence than a place.
     return by_twin.unionByName(by_place).groupBy("k", "v", "at", "run").agg(F.min_by("clean", F.struct("source", "clean")).alias("clean"))
 
