@@ -24,7 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.truncation import cut_texts
+from tallyloom.session import cut as cut_lineage
 
+HOT, MOST_HOT = 100_000, 50_000
 MIN_MATCH = 8
 MIN_COVERED, MAX_GAP, MAX_END = 0.85, 26, 14
 
@@ -298,7 +300,16 @@ def broken(option: DataFrame, answer: DataFrame, questions: DataFrame) -> DataFr
     keys = ["corpus", "question_number"]
     first = questions.groupBy(*keys).agg(F.min_by(F.struct("stem", _values(F.col("choices")).alias("choices")), "item_id").alias("q"))
     prompt = F.concat_ws("\n", F.coalesce("q.stem", F.lit("")), F.coalesce("q.choices", F.array().cast("array<string>")))
-    posed = option.select("pred_id", *keys, "option", "reason").join(first.select(*keys, prompt.alias("prompt")), keys, "left").select("pred_id", "option", "reason", "prompt")
+    replied = option.select("pred_id", *keys, "option", "reason")
+    asked = first.select(*keys, prompt.alias("prompt"))
+    # A question with more than HOT replies is spread over several tasks, each with its prompt; at most rows / HOT questions are.
+    hot = cut_lineage(replied.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(*keys, F.ceil(F.col("n") / HOT).cast("int").alias("parts")))
+    if (n_hot := hot.count()) > 0:
+        spread = F.broadcast(hot) if n_hot <= MOST_HOT else hot
+        replied = replied.join(spread, keys, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("pred_id"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+        asked = asked.join(spread, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        keys = [*keys, "part"]
+    posed = replied.join(asked, keys, "left").select("pred_id", "option", "reason", "prompt")
     kind = option.schema["pred_id"].dataType.simpleString()
     judged = posed.mapInPandas(defects, f"pred_id {kind}, option_bad boolean, defect string")
     texts = option.select("pred_id", "reason", F.lit(True).alias("judged")).unionByName(answer.select("pred_id", "reason", F.lit(False).alias("judged")))

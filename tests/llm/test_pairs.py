@@ -25,6 +25,18 @@ def test_one_defect_each(spark):
     assert got == {i: x for i, _, _, _, x in replies if x}
 
 
+def test_hot_questions_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "HOT", 5)
+    rows = [(i, "c", "r", 1 if i % 3 else 2 + i, "A", STEM if i % 2 else GOOD) for i in range(60)]
+    options = spark.createDataFrame(rows, "pred_id bigint, corpus string, run string, question_number int, option string, reason string")
+    questions = spark.createDataFrame([(i, "c", i, STEM, CHOICES) for i in range(1, 70)], "item_id bigint, corpus string, question_number int, stem string, choices map<string,string>")
+    answers = options.limit(0).withColumnRenamed("option", "answer")
+    wanted = {i: "copies_question" for i in range(1, 60, 2)}
+    assert {r.pred_id: r.defect for r in pairs.broken(options, answers, questions).collect()} == wanted
+    monkeypatch.setattr(pairs, "MOST_HOT", 0)
+    assert {r.pred_id: r.defect for r in pairs.broken(options, answers, questions).collect()} == wanted
+
+
 def test_automata():
     a = pairs.SuffixAutomaton("abcbc")
     assert a.covered("zbcbcz", 3) == [False, True, True, True, True, False] and a.covered("", 2) == []
