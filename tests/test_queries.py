@@ -19,11 +19,11 @@ def test_entry(spark):
     assert got.columns == ["corpus", "run", "bucket", "bucket_name", "n", "correct", "accuracy"] and got.count() > 0
 
 
-def test_every_transcript_counts(spark, tmp_path):
+def test_every_document_counts(spark, tmp_path):
     said = [(1, "transcript", "Uh, the plain one ."), (2, "transcript", "um the café’s\tpolicy ,\r\nsigned"), (3, "page", "uh"), (4, "transcript", None), (5, "transcript", "er größer  multiplechoice,now")]
     spark.createDataFrame(said, "doc_id bigint, doc_kind string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.prose for r in entry.queries()["prose_clean"](spark, str(tmp_path)).collect()}
-    assert got == {1: ", the plain one.", 2: "the café’s policy, signed", 5: "größer multiple-choice, now"}
+    assert got == {3: "", 1: ", the plain one.", 2: "the café’s policy, signed", 5: "größer multiple-choice, now"}
 
 
 def test_nearest_keeps_the_smallest_ids_of_ties_and_any_number_of_queries(spark):
@@ -44,7 +44,7 @@ def normal(v):
 
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if not n.startswith("p") or not n[1].isdigit()) + ["p5_found", "p5_keys", "p5_report"])
+@pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if not n.startswith("p") or not n[1].isdigit()) + ["p4_found", "p4_statistics", "p5_found", "p5_items", "p5_keys", "p5_report"])
 def test_query_equals_its_sql(spark, name):
     import duckdb
 
