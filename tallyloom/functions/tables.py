@@ -5,6 +5,8 @@ Fixed values: everything in this module is given by the file formats and reports
 
 from __future__ import annotations
 
+# Each list below must hold these words, in this order, for results to agree.
+
 #: an upper-cased reason that holds one of these repeats its instructions
 ECHO_MARKERS = ["FORMAT FIX", "YOU MUST", "LINE 1:", "LINE 2:", "OUTPUT EXACTLY", "CRITICAL:", "[FORCED_OPTION]", "OPTION: X"]
 
