@@ -17,7 +17,6 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -257,19 +256,29 @@ def ends_inside(text: str) -> bool:
     return any(c in "“«" or not _SENTENCE_END.search(text, at) for c, at in stack)
 
 
-@lru_cache(maxsize=4096)
-def _posed(prompt: str) -> tuple[str, str | None]:
-    """A question's squashed text and language; replies arrive sorted by question, so it is made about once for each."""
-    return squashed(prompt), language(spoken_words(prompt))
+class Kept(dict):
+    """What ``make`` gives for each key, kept for the last ``most`` keys; plain data, so that it travels with the function."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most = make, most
 
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = value = self.make(key)
+        return value
 
-@lru_cache(maxsize=64)
-def _automaton(source: str) -> SuffixAutomaton:
-    return SuffixAutomaton(source)
+
+def _posed(prompt: str) -> tuple[str, str | None]:
+    """A question's squashed text and language."""
+    return squashed(prompt), language(spoken_words(prompt))
 
 
 def defects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     refusal = PhraseAutomaton(REFUSALS)
+    # Replies arrive sorted by question, so each question is prepared about once.
+    posed, automata = Kept(_posed, 4096), Kept(SuffixAutomaton, 64)
     for batch in batches:
         out = []
         for reason, prompt in zip(batch["reason"], batch["prompt"], strict=True):
@@ -278,13 +287,13 @@ def defects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             core = without_lead(reason)
             words = spoken_words(core)
-            source, asked = _posed(prompt) if prompt else ("", None)
+            source, asked = posed[prompt] if prompt else ("", None)
             if refusal.found(words):
                 out.append("refusal")
             elif asked and (spoken := language(words)) and spoken != asked:
                 out.append("other_language")
             elif source and may_copy(lower := core.lower(), source):
-                out.append("copies_question" if is_copy(_squash(lower), _automaton(source)) else "truncated" if ends_inside(reason) else None)
+                out.append("copies_question" if is_copy(_squash(lower), automata[source]) else "truncated" if ends_inside(reason) else None)
             else:
                 out.append("truncated" if ends_inside(reason) else None)
         bad = [not (o is not None and o in GOOD_OPTIONS) and is_unusable(o) for o in batch["option"]]
