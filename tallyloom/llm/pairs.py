@@ -28,6 +28,9 @@ from tallyloom.session import cut as cut_lineage
 HOT, MOST_HOT = 100_000, 50_000
 MIN_MATCH = 8
 MIN_COVERED, MAX_GAP, MAX_END = 0.85, 26, 14
+#: each window of MIN_MATCH characters holds a whole piece, as _PIECE + _STEP - 1 characters are no more than that
+_PIECE = MIN_MATCH // 2
+_STEP = MIN_MATCH - _PIECE + 1
 
 LEAD_IN = r"(?:\d+\s*[.):]\s*)?(?:reason(?:ing)?|explanation|rationale|answer|response|question|you asked|motivo|explicaci[oó]n)\s*[:–—-]+\s*"
 PLACEHOLDERS = [
@@ -113,6 +116,8 @@ class PhraseAutomaton:
     def __init__(self, phrases: list[str]):
         self.next: list[dict[str, int]] = [{}]
         self.final, self.fail = [False], [0]
+        # Words without any phrase's longest word hold no phrase.
+        self.needed = frozenset(max(phrase.split(), key=len) for phrase in phrases)
         for phrase in phrases:
             state = 0
             for w in phrase.split():
@@ -135,6 +140,8 @@ class PhraseAutomaton:
                 queue.append(child)
 
     def found(self, words: list[str]) -> bool:
+        if self.needed.isdisjoint(words):
+            return False
         state = 0
         for w in words:
             while state and w not in self.next[state]:
@@ -145,8 +152,10 @@ class PhraseAutomaton:
         return False
 
 
-_NO_LETTER, _NO_ASCII_LETTER = re.compile(r"[\W_]+"), re.compile(r"[^a-z0-9]+")
-_ASCII_WORDS = re.compile(r"[a-z]+(?:'[a-z]+)*")
+_NO_LETTER = re.compile(r"[\W_]+")
+# ASCII characters are told apart by tables of bytes, which take a fraction of an expression's time.
+_NO_ASCII_LETTER = bytes(c for c in range(128) if chr(c) not in "abcdefghijklmnopqrstuvwxyz0123456789")
+_BLANKED = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz'" or c > 127 else 32 for c in range(256))
 # More letters and digits than any placeholder word has.
 _LONGER = re.compile(rf"(?:[\W_]*+[^\W_]){{{max(map(len, _BARE)) + 1}}}")
 
@@ -156,7 +165,7 @@ def squashed(text: str) -> str:
 
 
 def _squash(lower: str) -> str:
-    return (_NO_ASCII_LETTER if lower.isascii() else _NO_LETTER).sub("", lower)
+    return lower.encode().translate(None, _NO_ASCII_LETTER).decode() if lower.isascii() else _NO_LETTER.sub("", lower)
 
 
 def without_lead(text: str) -> str:
@@ -181,14 +190,17 @@ def spoken_words(text: str) -> list[str]:
     if "“" in text or '"' in text or "«" in text:
         text = _QUOTED.sub(" ", text)
     text = text.replace("’", "'")
-    return (_ASCII_WORDS if text.isascii() else _WORDS).findall(text)
+    pieces = text.encode("utf-8", "surrogatepass").translate(_BLANKED).decode("utf-8", "surrogatepass").split()
+    if "'" not in text and text.isascii():
+        return pieces
+    return [w for piece in pieces for w in ((piece,) if "'" not in piece and piece.isascii() else _WORDS.findall(piece))]
 
 
 def language(words: list[str]) -> str | None:
     """The language with the most stopwords, if it has two or more and more than any other; Cyrillic text without any is ru."""
     votes: dict[str, int] = {}
-    for w in words:
-        for lang in _LANGUAGE_OF.get(w, ()):
+    for langs in filter(None, map(_LANGUAGE_OF.get, words)):
+        for lang in langs:
             votes[lang] = votes.get(lang, 0) + 1
     if not votes:
         return "ru" if sum("а" <= w[0] <= "я" for w in words) * 2 > len(words) else None
@@ -206,13 +218,29 @@ def may_copy(lower: str, source: str) -> bool:
     end = _squash(lower[-4 * least :])
     if len(end) < least and len(lower) > 4 * least:
         end = _squash(lower)
-    if len(end) < MIN_MATCH or not any(end[i : i + MIN_MATCH] in source for i in range(max(0, len(end) - least), len(end) - MIN_MATCH + 1)):
+    if not _shares(end[-least:], source):
         return False
     least = MAX_GAP + MIN_MATCH
     start = _squash(lower[: 4 * least])
     if len(start) < least and len(lower) > 4 * least:
         start = _squash(lower)
-    return any(start[i : i + MIN_MATCH] in source for i in range(min(MAX_GAP + 1, len(start) - MIN_MATCH + 1)))
+    return _shares(start[:least], source)
+
+
+def _shares(part: str, source: str) -> bool:
+    """Whether any MIN_MATCH characters of ``part`` stand in the source.
+
+    Every such window holds a whole piece of _PIECE characters out of those at each _STEP, so windows are only looked at around a piece that is there.
+    """
+    most, seen = len(part) - MIN_MATCH, 0
+    for at in range(0, len(part) - _PIECE + 1, _STEP):
+        if part[at : at + _PIECE] in source:
+            last = min(at, most)
+            for i in range(max(seen, at + _PIECE - MIN_MATCH), last + 1):
+                if part[i : i + MIN_MATCH] in source:
+                    return True
+            seen = last + 1
+    return False
 
 
 def is_copy(core: str, automaton: SuffixAutomaton) -> bool:
@@ -282,10 +310,10 @@ def defects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for reason, prompt in zip(batch["reason"], batch["prompt"], strict=True):
-            if is_unusable(reason):
+            core = without_lead(reason or "")
+            if not _LONGER.match(core) and is_unusable(reason):
                 out.append("empty")
                 continue
-            core = without_lead(reason)
             words = spoken_words(core)
             source, asked = posed[prompt] if prompt else ("", None)
             if refusal.found(words):

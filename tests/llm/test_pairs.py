@@ -93,3 +93,29 @@ def test_delimiters():
     outside = ["He said “no”.", "a) first b) second", 'a 5" pipe', 'He wrote "no cover".', "(see [page 3])", "“a (b”", "One (of two. The form holds.", 'the "A" form and the ("B") form', ""]
     assert [pairs.ends_inside(x) for x in inside] == [True] * len(inside)
     assert [pairs.ends_inside(x) for x in outside] == [False] * len(outside)
+
+
+def test_bounds_look_few_pieces_up():
+    class Source(str):
+        looked = 0
+
+        def __contains__(self, piece):
+            self.looked += 1
+            return str.__contains__(self, piece)
+
+    source = Source(pairs.squashed(STEM))
+    assert not pairs.may_copy("zqxj " * 40, source) and 0 < source.looked <= 5
+
+
+def test_words_and_letters_equal_expressions():
+    import random
+    import re
+
+    rng = random.Random(11)
+    parts = [*"abzAZ09'’ .,-_\n\t\x00é", "İ", "K", "n't", "''"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 16)))
+        lower = text.lower()
+        plain = lower.replace("’", "'")
+        assert pairs.spoken_words(text) == re.findall(r"[a-z]+(?:'[a-z]+)*" if plain.isascii() else r"[^\W\d_]+(?:['’][^\W\d_]+)*", plain)
+        assert pairs.squashed(text) == re.sub(r"[^a-z0-9]+" if lower.isascii() else r"[\W_]+", "", lower)

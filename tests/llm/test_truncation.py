@@ -1,3 +1,6 @@
+import random
+import re
+
 from tallyloom.llm import truncation
 
 SUBJECTS = ["claimant", "broker", "tenant", "adjuster"]
@@ -49,3 +52,28 @@ def test_share_by_run(spark):
     cut = spark.createDataFrame([(2,)], "pred_id bigint")
     got = {r.run: (r.n_replies, r.n_cut, r.share_cut) for r in truncation.share_by_run(texts, cut).collect()}
     assert got == {"r": (2, 1, 0.5), None: (1, 0, 0.0)}
+
+
+def test_words_take_few_passes_over_a_text(spark):
+    assert truncation._words("p").count("replace(") <= 4
+
+    def one_mark_at_a_time(text):
+        for old, new in [*((m, "") for m in truncation._BARE), ("…", "."), ("!", "."), ("?", "."), ("\t", " "), ("\r", " "), ("\n", " . ")]:
+            text = text.replace(old, new)
+        text = " " + re.sub("[A-Z]++(?=-?9)", "A", re.sub("[0-8]", "9", text)).lower() + " "
+        for old, new in [*((f" {t}. ", f" {t} ") for t in truncation._TITLES), *((f"{m} ", f" {m} ") for m in ",;:.")]:
+            text = text.replace(old, new)
+        return [w for w in text.split(" ") if w]
+
+    rng = random.Random(5)
+    parts = [*",;:.…!?-\t\r\n “)*'é", "a", "Q", "AB", "9", "40", " mr. x", " Dr. ", " sra.", " Mrs. x", "e.g. "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 20))) for _ in range(4000)]
+    texts = ["q,9 mr. x", *(t for t in texts if not re.search(r"(?i)\b(mr|mrs|dr|sra)\b[\W_]+\1\b", t))]  # a title that stands twice is tested below
+    rows = spark.createDataFrame([(t,) for t in texts], "p string").selectExpr("p", f"{truncation._words('p')} as w").collect()
+    assert [r.w for r in rows] == [one_mark_at_a_time(r.p) for r in rows] and len(rows) > 2000
+
+
+def test_a_repeated_title_is_split_as_its_pieces_are(spark):
+    rows = spark.createDataFrame([("Mr. Mr. Ames paid.",)], "p string")
+    whole, pieces = rows.selectExpr(f"{truncation._words('p')} as w", f"flatten(array({', '.join(truncation._words(repr(x)) for x in 'Mr. Mr. Ames paid.'.split())})) as x").first()
+    assert whole == pieces == ["mr", "mr", "ames", "paid", "."]
